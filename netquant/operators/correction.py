@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netquant.operators.ranking import running, sliced
+from netquant.operators.ranking import running, sliced, with_totals
 
 EULER_GAMMA = 0.5772156649015329
 METHODS = ("BY", "BH", "BONFERRONI", "HOLM", "HOCHBERG", "NONE")
@@ -41,11 +41,11 @@ def p_adjust(
     levels = tests.filter(usable).groupBy(*by, p).agg(F.count("*").alias("_ties"))
     sizes = levels.groupBy(*by).agg(F.sum("_ties").alias("_m"))
     if method == "BONFERRONI":
-        table = levels.join(sizes, by) if by else levels.join(F.broadcast(sizes))
+        table = with_totals(levels, sizes, by)
         adjusted = table.withColumn("_q", F.least(F.lit(1.0), F.col("_m") * F.col(p)))
     else:
         ranked = running(sliced(levels, by, p), by, p, F.col("_ties"), "sum", "_rank")
-        table = ranked.join(sizes, by) if by else ranked.join(F.broadcast(sizes))
+        table = with_totals(ranked, sizes, by)
         m, k = F.col("_m"), F.col("_rank")
         if method in ("BY", "BH"):
             scale = harmonic(m) if method == "BY" else F.lit(1.0)

@@ -18,6 +18,8 @@ PAIR = ("node_1", "node_2")
 MIN_VALUES_TO_TEST = 10
 MODIFIED_Z_THRESHOLD = 3.5
 MODIFIED_Z_SCALE = 0.6745
+# A median deviation below this is rounding noise of equal ratios.
+SMALLEST_DEVIATION = 1e-9
 
 
 def pair_members(links: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -212,14 +214,14 @@ def modified_z(
     """Iglewicz-Hoaglin score of the tested value of each group against its population.
 
     ``population`` holds one row per value of (keys), the tested value included and flagged.
-    Returns ``(keys, n_values, modified_z)``; a zero median deviation gives 0, no outlier.
+    Returns ``(keys, n_values, modified_z)``; a zero median deviation (equal values) gives 0, no outlier.
     """
     keys = list(keys)
     center = grouped_median(population, keys, value, "_median")
     spread = population.join(center, keys).withColumn("_deviation", F.abs(F.col(value) - F.col("_median")))
     mad = grouped_median(spread, keys, "_deviation", "_mad")
     own = population.groupBy(*keys).agg(F.count("*").alias("n_values"), F.max(F.when(F.col(source), F.col(value))).alias(tested))
-    score = F.when(F.col("_mad") > 0, F.lit(MODIFIED_Z_SCALE) * F.abs(F.col(tested) - F.col("_median")) / F.col("_mad"))
+    score = F.when(F.col("_mad") > SMALLEST_DEVIATION, F.lit(MODIFIED_Z_SCALE) * F.abs(F.col(tested) - F.col("_median")) / F.col("_mad"))
     return (
         own.join(center, keys)
         .join(mad, keys)

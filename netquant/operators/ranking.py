@@ -51,13 +51,20 @@ def running(slices: DataFrame, by: Sequence[str], order: str, value: Column, kin
     )
 
 
+def with_totals(df: DataFrame, totals: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Add per-group totals; without groups the single row comes in as scalar subqueries."""
+    if by:
+        return df.join(totals, list(by))
+    return df.withColumns({c: totals.select(c).scalar() for c in totals.columns})
+
+
 def grouped_median(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
     """Exact median of each group: equal values are counted, then the middle ones are picked."""
     by = list(by)
     counted = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
     ranked = running(sliced(counted, by, value), by, value, F.col("_n"), "sum", "_upto")
     totals = df.groupBy(*by).agg(F.count("*").alias("_total"))
-    joined = ranked.join(totals, by) if by else ranked.join(F.broadcast(totals))
+    joined = with_totals(ranked, totals, by)
     low, high = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
     first, last = F.col("_upto") - F.col("_n") + 1, F.col("_upto")
     holds = lambda rank: (rank >= first) & (rank <= last)

@@ -162,4 +162,5 @@ def with_views(names: str, body: str, extra: dict[str, str] | None = None) -> st
         visit(name)
     parts = [f"{name} AS ({VIEWS[name]})" for name in order]
     parts += [f"{name} AS ({text})" for name, text in (extra or {}).items()]
-    return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + body
+    recursive = "RECURSIVE " if "reach" in order else ""
+    return (f"WITH {recursive}" + ",\n".join(parts) + "\n" if parts else "") + body
