@@ -103,6 +103,20 @@ class RatioCounts:
         self.mean = F.coalesce(F.avg(F.when(finite, c)), nan())
         self.sd = F.coalesce(F.stddev_samp(F.when(finite, c)), nan())
 
+    NAMES = ("n", "pos", "neg", "missing", "finite", "old_pos", "old_neg", "mean", "sd")
+
+    def columns(self, prefix: str) -> list[Column]:
+        """The aggregates as columns of one ``agg``, to be read back by :meth:`read`."""
+        return [getattr(self, name).alias(f"{prefix}{name}") for name in self.NAMES]
+
+    @classmethod
+    def read(cls, prefix: str) -> RatioCounts:
+        """Counts from the columns that :meth:`columns` made."""
+        k = cls.__new__(cls)
+        for name in cls.NAMES:
+            setattr(k, name, F.col(f"{prefix}{name}"))
+        return k
+
     @classmethod
     def merged(cls, prefix: str = "") -> RatioCounts:
         """The same counts from rows that already hold ``STAT_COLUMNS`` (no spread)."""
@@ -110,6 +124,7 @@ class RatioCounts:
         k = cls.__new__(cls)
         k.n, k.pos, k.neg, k.missing, k.finite, k.old_pos, k.old_neg, summed = (total[name] for name in STAT_COLUMNS)
         k.mean = F.coalesce(F.try_divide(summed, k.finite), nan())
+        k.sd = nan()
         return k
 
     def uniform(self, empty: Column) -> list[tuple[Column, Column]]:
@@ -188,7 +203,7 @@ def inf_count(c: Column | str | RatioCounts, majority: bool = True) -> Column:
     )
 
 
-def inf_stddev(c: Column | str, majority: bool = True) -> Column:
+def inf_stddev(c: Column | str | RatioCounts, majority: bool = True) -> Column:
     """Spread matching :func:`inf_mean`; a -Inf majority over mixed signs has none, +Inf has itself."""
     k = _counts(c)
     branches = k.uniform(nan())

@@ -23,10 +23,12 @@ from netquant.functions.ratios import (
 
 def ratio_by(rows: DataFrame, keys: Sequence[str], c: str = "log2_ratio", majority: bool = True) -> DataFrame:
     """Mean, count and spread of a ratio per group under the infinity rules."""
-    return rows.groupBy(*keys).agg(
-        inf_mean(c, majority).alias("log2_ratio"),
-        inf_count(c, majority).alias("n_meas"),
-        inf_stddev(c, majority).alias("sd"),
+    k = RatioCounts.read("_")
+    return rows.groupBy(*keys).agg(*RatioCounts(c).columns("_")).select(
+        *keys,
+        inf_mean(k, majority).alias("log2_ratio"),
+        inf_count(k, majority).alias("n_meas"),
+        inf_stddev(k, majority).alias("sd"),
     )
 
 
@@ -58,8 +60,9 @@ def node_stats(psm: DataFrame, members: DataFrame, by: Sequence[str] = ()) -> Da
 
 def merged_ratio(rows: DataFrame, keys: Sequence[str], out: str = "log2_ratio") -> DataFrame:
     """Mean ratio of groups of additive counts (see :func:`node_stats`)."""
-    merged = RatioCounts.merged()
-    return rows.groupBy(*keys).agg(inf_mean(merged).alias(out), inf_count(merged).alias(f"n_{out}"))
+    k = RatioCounts.read("_")
+    summed = rows.groupBy(*keys).agg(*RatioCounts.merged().columns("_"))
+    return summed.select(*keys, inf_mean(k).alias(out), inf_count(k).alias(f"n_{out}"))
 
 
 def site_ratio(site_peptides: DataFrame, psm_ratio: DataFrame, by: Sequence[str] = ()) -> DataFrame:

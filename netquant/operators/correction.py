@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netquant.lineage import cut
 from netquant.operators.ranking import running, sliced, with_totals
 
 EULER_GAMMA = 0.5772156649015329
@@ -35,6 +36,9 @@ def p_adjust(
         raise ValueError(f"unknown correction {method}")
     if method == "NONE":
         return tests.withColumn(out, F.col(p))
+    # Levels are joined back on p itself, so both sides must read the very same doubles: a plan
+    # computed twice may add in another order. It also runs the tests once.
+    tests = cut(tests, "tests")
     usable = F.col(p).isNotNull() & ~F.isnan(p)
     if use is not None:
         usable = usable & F.col(use)
@@ -54,6 +58,7 @@ def p_adjust(
             value, kind = (m - k + 1) * F.col(p), "min"
         else:
             value, kind = (m - (k - F.col("_ties"))) * F.col(p), "max"
+        table = cut(table, "ranked")
         adjusted = running(table, by, p, F.least(F.lit(1.0), value), kind, "_q")
     keyed = adjusted.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col(p).alias("_p"), "_q")
     condition = usable & (F.col(p) == F.col("_p"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netquant.functions.ratios import inf_count, inf_mean, inf_stddev, nan
+from netquant.functions.ratios import RatioCounts, inf_count, inf_mean, inf_stddev, nan
 from netquant.operators.correction import p_adjust
 from netquant.operators.sites import is_discovery, sample_names, test_columns, with_distribution
 
@@ -27,15 +27,16 @@ def group_compare(
     """
     keys = list(keys)
     joined = sites.select(key, "sample", "log2_ratio").join(membership, "sample")
-    sides = []
+    aggregated, sides = [], []
     for side in (1, 2):
-        value = F.when(F.col("side") == side, F.col("log2_ratio"))
+        k = RatioCounts.read(f"_{side}_")
+        aggregated += RatioCounts(F.when(F.col("side") == side, F.col("log2_ratio"))).columns(f"_{side}_")
         sides += [
-            F.coalesce(inf_mean(value), nan()).alias(f"m_{side}"),
-            inf_count(value).alias(f"n_{side}"),
-            inf_stddev(value).alias(f"sd_{side}"),
+            F.coalesce(inf_mean(k), nan()).alias(f"m_{side}"),
+            inf_count(k).alias(f"n_{side}"),
+            inf_stddev(k).alias(f"sd_{side}"),
         ]
-    per_site = joined.groupBy(*keys, key).agg(*sides)
+    per_site = joined.groupBy(*keys, key).agg(*aggregated).select(*keys, key, *sides)
     tests = test_columns(with_distribution(per_site, sites), equal_var, n_sigmas).drop("dist_mean", "dist_sd")
     return p_adjust(tests, keys, method, use="use_for_correction")
 
