@@ -137,39 +137,25 @@ def ratio_distribution(sites: DataFrame, c: str = "log2_ratio") -> DataFrame:
 
 
 def cluster_replicate_means(
-    psm: DataFrame,
-    cluster_peptides: DataFrame,
-    edges: DataFrame,
-    protein: DataFrame,
-    by: Sequence[str] = (),
-    taxa: Sequence[str] | None = None,
+    psm: DataFrame, cluster_peptides: DataFrame, genes: DataFrame, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Mean finite ratio and its inverse per cluster, gene and replicate, long form.
+    """Linear ratio of each cluster in each replicate and its inverse, long form, with the gene string.
 
-    Rows without a gene or without any finite value do not appear. The mean is of the linear
-    ratio's log; the inverse is that of the linear ratio, a change of sign.
+    ``genes`` is (cluster_id, genes) of the allowed taxa: clusters without a gene do not appear, nor
+    do replicates whose ratio is not a number. PSMs are counted per peptide before the join.
     """
     by = list(by)
-    genes = protein.filter(F.col("gene").isNotNull() & (F.col("gene") != ""))
-    if taxa:
-        wanted = F.lit(False)
-        for taxon in taxa:
-            wanted = wanted | F.lower("taxonomy").contains(taxon.lower())
-        genes = genes.filter(wanted)
-    protein_keys = [*[c for c in by if c in protein.columns], "protein_acc"]
-    peptide_genes = edges.join(genes.select(*protein_keys, "gene"), protein_keys).select(*by, "peptide_key", "gene").distinct()
-    per_peptide = (
-        psm.filter(is_finite("log2_ratio"))
-        .groupBy(*by, "peptide_key", "replicate")
-        .agg(F.sum("log2_ratio").alias("_sum"), F.count("*").alias("_n"))
-    )
-    return (
-        per_peptide.join(cluster_peptides, [*by, "peptide_key"])
-        .join(peptide_genes, [*by, "peptide_key"])
-        .groupBy(*by, "cluster_id", "gene", "replicate")
-        .agg((F.sum("_sum") / F.sum("_n")).alias("mean_log2_ratio"))
-        .withColumn("mean_ratio", F.pow(F.lit(2.0), F.col("mean_log2_ratio")))
-        .withColumn("inverse_ratio", F.pow(F.lit(2.0), -F.col("mean_log2_ratio")))
+    per_peptide = psm.groupBy(*by, "peptide_key", "replicate").agg(*ratio_stats("log2_ratio"))
+    joined = per_peptide.join(cluster_peptides, [*by, "peptide_key"])
+    ratios = merged_ratio(joined, [*by, "cluster_id", "replicate"]).filter(is_finite("log2_ratio"))
+    named = genes.filter(F.col("genes").isNotNull() & (F.col("genes") != ""))
+    return ratios.join(named, [*by, "cluster_id"]).select(
+        *by,
+        "cluster_id",
+        "genes",
+        "replicate",
+        F.pow(F.lit(2.0), F.col("log2_ratio")).alias("mean_ratio"),
+        F.pow(F.lit(2.0), -F.col("log2_ratio")).alias("inverse_ratio"),
     )
 
 

@@ -14,10 +14,10 @@ class Query(NamedTuple):
 
 
 def catalog() -> dict[str, Query]:
-    from netquant.queries import comparison, graph, integration, pairing, sequences
+    from netquant.queries import comparison, graph, integration, pairing, reporting, sequences
 
     found: dict[str, Query] = {}
-    for module in (graph, pairing, comparison, sequences, integration):
+    for module in (graph, pairing, comparison, sequences, integration, reporting):
         for name, query in module.QUERIES.items():
             if name in found:
                 raise ValueError(f"query {name} registered twice")
