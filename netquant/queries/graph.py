@@ -13,9 +13,9 @@ from netquant.functions.ratios import (
     only_finite,
     same_infinity,
 )
-from netquant.operators import aggregates, components, filters, nodes
-from netquant.plans.tables import REPLICATES, RUN, network, psm_table, protein_table, read
-from netquant.queries.common import Registry, num, rounded, snum, sql_counts, sql_mean, sql_n, sql_sd, with_views
+from netquant.operators import aggregates, components, nodes
+from netquant.plans.tables import RUN, network, psm_table, read
+from netquant.queries.common import Registry, rounded, snum, sql_counts, sql_mean, sql_n, sql_sd, with_views
 
 QUERIES = Registry()
 

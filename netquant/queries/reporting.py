@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from netquant.functions.ratios import log2_of_ratio, ratio_of_log2
 from netquant.functions.texts import escaped_infinity, short_number, unescaped_number
 from netquant.lineage import cut
-from netquant.operators import aggregates, align, annotate, components, datasets, filters, network as net_tables
+from netquant.operators import aggregates, align, annotate, components, datasets, filters, groups
+from netquant.operators import network as net_tables
 from netquant.operators import nodes, pairs, positions, reports, sites
+from netquant.operators.ranking import running, sliced
 from netquant.plans.tables import REPLICATES, RUN, network, protein_table, psm_table, read
 from netquant.queries import comparison, integration, pairing, sequences
 from netquant.queries.common import Registry, num, rounded, snum, sql_mean, sql_n, sql_sd, with_views
@@ -412,8 +414,6 @@ def snk12_total_ratio_matrix(spark, sf_dir):
 @QUERIES.add("snk14_group_table", with_views("psm", f"""SELECT comparison_id, site_key, {snum('p')} AS p, {snum('q')} AS q, n_significant FROM adjusted
     JOIN (SELECT comparison_id, count(*) FILTER (q < 0.05) AS n_significant FROM adjusted GROUP BY ALL) USING (comparison_id)""", comparison.GROUP_Q))
 def snk14_group_table(spark, sf_dir):
-    from netquant.operators import groups
-
     membership = groups.two_group_membership(comparison.group_rows(spark), "g1", "g2", "g1_g2")
     tests = groups.group_compare(comparison.aligned(spark, sf_dir), membership)
     table = reports.group_table(tests, groups.significant_sites(tests))
@@ -423,8 +423,6 @@ def snk14_group_table(spark, sf_dir):
 @QUERIES.add("srt1_final_order", with_views(FINAL_NEEDS, f"""SELECT run_id, peptide_node, CAST(row_number() OVER (PARTITION BY run_id ORDER BY coalesce(round(fdr, 6), 1), peptide_node) AS INTEGER) AS place FROM final""", FINAL_VIEWS))
 def srt1_final_order(spark, sf_dir):
     """The place of each node in the final order, by a distributed running count."""
-    from netquant.operators.ranking import running, sliced
-
     table = final(spark, sf_dir).select(*RUN, "peptide_node", F.coalesce(F.round("fdr", 6), F.lit(1.0)).alias("fdr"))
     ordered = sliced(table.withColumn("_order", F.struct("fdr", "peptide_node")), RUN, "_order")
     placed = running(ordered, RUN, "_order", F.lit(1), "sum", "place")
@@ -487,11 +485,11 @@ def net5_clusters_by_case(spark, sf_dir):
     return net_tables.clusters_by_case(pairs.classify_fold_change(pairing.pair_ratio_table(net)), net.cluster_of, RUN)
 
 
-@QUERIES.add("net6_colour_values", with_views("psm", f"""SELECT run_id, peptide_key, {snum("CASE WHEN isfinite(r) AND abs(r) >= 1 OR isinf(r) THEN least(greatest(r, -2), 2) WHEN NOT isnan(r) OR isnan(r) THEN 0e0 END")} AS colour_value FROM
+@QUERIES.add("net6_colour_values", with_views("psm", f"""SELECT run_id, peptide_key, {snum("CASE WHEN isfinite(r) AND abs(r) >= 0.9 OR isinf(r) THEN least(greatest(r, -2), 2) ELSE 0e0 END")} AS colour_value FROM
     (SELECT run_id, peptide_key, {sql_mean('log2_ratio')} AS r FROM psm GROUP BY ALL) WHERE NOT isnan(r)"""))
 def net6_colour_values(spark, sf_dir):
     rows = aggregates.peptide_ratio(psm_table(spark, sf_dir), RUN).filter(~F.isnan("log2_ratio"))
-    coloured = net_tables.colour_values(rows.withColumn("significant", F.abs("log2_ratio") >= 1), low=-2, high=2, flat=0.0)
+    coloured = net_tables.colour_values(rows.withColumn("significant", F.abs("log2_ratio") >= 0.9), low=-2, high=2, flat=0.0)
     return rounded(coloured.select(*RUN, "peptide_key", "colour_value"), "colour_value")
 
 
@@ -499,16 +497,14 @@ def net6_colour_values(spark, sf_dir):
 
 
 def dataset_rows(spark, sf_dir):
-    """Three sample pairs as datasets: their sites with p at most 0.2."""
+    """Each sample as a dataset: the sites that differ from a later sample with p at most 0.2."""
     tests = sites.pairwise_tests(comparison.aligned(spark, sf_dir))
-    name = F.concat_ws("_", "sample_i", "sample_j")
-    table = tests.filter(name.isin("AF_AO", "AF_NF", "AF_RF")).select(name.alias("dataset"), F.col("site_key").alias("key"), F.round("p", 9).alias("fdr"))
+    table = tests.select(F.col("sample_i").alias("dataset"), F.col("site_key").alias("key"), F.round("p", 9).alias("fdr"))
     return datasets.within_fdr(table, 0.2)
 
 
-DATASETS = {**comparison.PAIR_TESTS, "ds": """SELECT sample_i || '_' || sample_j AS dataset, site_key AS key FROM tests
-    WHERE sample_i || '_' || sample_j IN ('AF_AO', 'AF_NF', 'AF_RF') AND round(p, 9) <= 0.2"""}
-NAMES = ["AF_AO", "AF_NF", "AF_RF"]
+DATASETS = {**comparison.PAIR_TESTS, "ds": "SELECT DISTINCT sample_i AS dataset, site_key AS key FROM tests WHERE round(p, 9) <= 0.2"}
+NAMES = list(REPLICATES[:-1])
 
 
 @QUERIES.add("set1_regions", with_views("psm", "SELECT key, string_agg(DISTINCT dataset, '&' ORDER BY dataset) AS region FROM ds GROUP BY key", DATASETS))
@@ -523,16 +519,14 @@ def set1_region_counts(spark, sf_dir):
 
 @QUERIES.add("set1_element_regions", with_views("peptide_nodes psm", """SELECT dataset, node_key AS element, string_agg(DISTINCT o, '&' ORDER BY o) AS region FROM
     (SELECT a.dataset, a.node_key, b.dataset AS o FROM el a JOIN el b USING (peptide_key)) GROUP BY ALL""", {
-    "el": """SELECT DISTINCT n.run_id AS dataset, n.peptide_key, k.node_key FROM peptide_nodes n JOIN
-      (SELECT run_id, peptide_node, string_agg(peptide_key, '_' ORDER BY peptide_key) AS node_key FROM peptide_nodes GROUP BY ALL) k USING (run_id, peptide_node)
-      WHERE n.run_id IN ('1996H1', '1997H1', '1998H1')"""}))
+    "el": """SELECT DISTINCT right(n.run_id, 2) AS dataset, n.peptide_key, k.node_key FROM peptide_nodes n JOIN
+      (SELECT run_id, peptide_node, string_agg(peptide_key, '_' ORDER BY peptide_key) AS node_key FROM peptide_nodes GROUP BY ALL) k USING (run_id, peptide_node)"""}))
 def set1_element_regions(spark, sf_dir):
-    """Peptide nodes of three runs compared by any shared peptide."""
+    """Peptide nodes of the first and the second half-years compared by any shared peptide."""
     net = network(spark, sf_dir)
     keyed = nodes.node_keys(net.peptide_nodes, "peptide_key", "peptide_node", RUN, sep="_")
-    runs = ["1996H1", "1997H1", "1998H1"]
-    rows = keyed.filter(F.col("run_id").isin(runs)).select(F.col("run_id").alias("dataset"), F.col("node_key").alias("key"))
-    return datasets.element_regions(rows, runs, "peptide_node")
+    rows = keyed.select(F.right("run_id", F.lit(2)).alias("dataset"), F.col("node_key").alias("key")).distinct()
+    return datasets.element_regions(rows, ["H1", "H2"], "peptide_node")
 
 
 @QUERIES.add("flt16_subset_sites", sequences.seq_sql("""SELECT DISTINCT peptide_key, protein_acc, CAST(protein_position AS INTEGER) AS position FROM sitepos s
