@@ -22,53 +22,63 @@ def connected_components(
     skew join rule splits. Each round is written once, so no lineage builds up.
     """
     by = list(by)
-    pairs = (
-        links.select(*by, F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
-        .filter(F.col("u") != F.col("v"))
+    # Read three times below: for both ends of the vertex list and for the numbering.
+    links = cut(links.select(*by, left, right), "links")
+    vertices = (
+        links.select(*by, F.col(left).alias("vertex"))
+        .union(links.select(*by, F.col(right).alias("vertex")))
         .distinct()
     )
-    edges = cut(pairs, "links")
+    ids = _numbered(vertices, by)
+    edges = cut(_as_ids(links, left, right, ids, by), "links")
     previous = None
     for _ in range(max_rounds):
-        edges = cut(_small_star(_large_star(edges, by), by), "star")
-        state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64(*edges.columns))).first()
+        edges = cut(_small_star(_large_star(edges)), "star")
+        state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == previous:
             break
         previous = state
     else:
         raise RuntimeError(f"components not stable after {max_rounds} rounds")
-    labels = edges.select(*by, F.col("u").alias("vertex"), F.col("v").alias("component"))
-    vertices = (
-        links.select(*by, F.col(left).alias("vertex"))
-        .union(links.select(*by, F.col(right).alias("vertex")))
-        .distinct()
-    )
-    return vertices.join(labels, [*by, "vertex"], "left").withColumn(
-        "component", F.coalesce("component", "vertex")
+    names = ids.select("id", F.col("vertex").alias("component"))
+    roots = ids.join(edges.withColumnRenamed("u", "id"), "id", "left").select(
+        *by, "vertex", F.coalesce("v", "id").alias("id")
     )
+    return roots.join(names, "id").select(*by, "vertex", "component")
+
 
+def _numbered(vertices: DataFrame, by: list[str]) -> DataFrame:
+    """Long ids in the order of (by, vertex), so that the rounds move two longs per edge.
 
-def _large_star(edges: DataFrame, by: list[str]) -> DataFrame:
+    Range partitions sorted inside are numbered by partition and row: the ids keep the order with
+    no global sort in one place. They are written, as a second computation could number otherwise.
+    """
+    n = int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = vertices.repartitionByRange(n, *by, "vertex").sortWithinPartitions(*by, "vertex")
+    return cut(ordered.withColumn("id", F.monotonically_increasing_id()), "vertices")
+
+
+def _as_ids(links: DataFrame, left: str, right: str, ids: DataFrame, by: list[str]) -> DataFrame:
+    """Distinct (u, v) with u > v."""
+    one = ids.select(*by, F.col("vertex").alias(left), F.col("id").alias("_a"))
+    two = ids.select(*by, F.col("vertex").alias(right), F.col("id").alias("_b"))
+    numbered = links.filter(F.col(left) != F.col(right)).join(one, [*by, left]).join(two, [*by, right])
+    return numbered.select(F.greatest("_a", "_b").alias("u"), F.least("_a", "_b").alias("v")).distinct()
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
     """Link every greater neighbour of u to the least vertex around u."""
-    both = edges.select(*by, "u", "v").union(edges.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy(*by, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return (
-        both.filter(F.col("v") > F.col("u"))
-        .join(least, [*by, "u"])
-        .select(*by, F.col("v").alias("u"), F.col("m").alias("v"))
-        .distinct()
-    )
+    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    moved = both.filter(F.col("v") > F.col("u")).join(least, "u")
+    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame, by: list[str]) -> DataFrame:
+def _small_star(edges: DataFrame) -> DataFrame:
     """Link u and its lesser neighbours to the least of them."""
-    least = edges.groupBy(*by, "u").agg(F.min("v").alias("m"))
-    moved = (
-        edges.join(least, [*by, "u"])
-        .filter(F.col("v") != F.col("m"))
-        .select(*by, F.col("v").alias("u"), F.col("m").alias("v"))
-    )
-    return moved.union(least.select(*by, "u", F.col("m").alias("v"))).distinct()
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    moved = edges.join(least, "u").filter(F.col("v") != F.col("m"))
+    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def protein_links(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -111,7 +111,8 @@ def fasta_accession(header):
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """``(protein_acc, header, sequence)``; records are split by the reader, so large files are read in parallel."""
-    records = spark.read.text(path, lineSep=">").filter(F.trim("value") != "")
+    lines = spark.read.text(path, lineSep="\n>")
+    records = lines.select(F.regexp_replace("value", "^>", "").alias("value")).filter(F.trim("value") != "")
     header = F.trim(F.split("value", "\r?\n", 2)[0])
     body = F.regexp_replace(F.coalesce(F.get(F.split("value", "\r?\n", 2), 1), F.lit("")), r"\s", "")
     return records.select(fasta_accession(header).alias("protein_acc"), header.alias("header"), body.alias("sequence"))
