@@ -112,23 +112,44 @@ def individual_values(psm: DataFrame, members: DataFrame, by: Sequence[str] = ()
     return values.join(members, [*by, "peptide_key"])
 
 
+def node_measurements(psm: DataFrame, members: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Per peptide node in one pass: PSMs, runs, replicates, raw files, ratio, its count and spread.
+
+    ``psm`` has one row per psm_id. Runs and replicates are gathered as sets, which are as small as
+    the list of input files; several distinct counts would multiply every row instead.
+    """
+    k = RatioCounts.read("_")
+    key = [*by, "peptide_node"]
+    gathered = psm.join(members, [*by, "peptide_key"]).groupBy(*key).agg(
+        F.count("*").alias("n_psms"),
+        F.collect_set("raw_file").alias("_files"),
+        F.collect_set("replicate").alias("_replicates"),
+        *RatioCounts("log2_ratio").columns("_"),
+    )
+    return gathered.select(
+        *key,
+        "n_psms",
+        F.size("_files").alias("n_runs"),
+        F.size("_replicates").alias("n_replicates"),
+        F.concat_ws(",", F.array_sort("_files")).alias("raw_files"),
+        inf_mean(k).alias("log2_ratio"),
+        inf_count(k).alias("n_meas"),
+        inf_stddev(k).alias("sd"),
+    )
+
+
 def node_counts(
     psm: DataFrame, members: DataFrame, links: DataFrame, protein_members: DataFrame, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Per peptide node: PSMs, runs, replicates, peptides, connected nodes and individual proteins."""
+    """Per peptide node: its measurements, peptides, connected nodes and individual proteins."""
     by = list(by)
     key = [*by, "peptide_node"]
-    measured = psm.join(members, [*by, "peptide_key"]).groupBy(*key).agg(
-        F.countDistinct("psm_id").alias("n_psms"),
-        F.countDistinct("raw_file").alias("n_runs"),
-        F.countDistinct("replicate").alias("n_replicates"),
-        F.countDistinct("peptide_key").alias("n_peptides"),
-    )
     sizes = protein_members.groupBy(*by, "protein_node").agg(F.count("*").alias("_size"))
     around = links.join(sizes, [*by, "protein_node"]).groupBy(*key).agg(
         F.count("*").alias("n_connected"), F.sum("_size").alias("n_proteins")
     )
-    return measured.join(around, key)
+    peptides = members.groupBy(*key).agg(F.count("*").alias("n_peptides"))
+    return node_measurements(psm, members, by).join(peptides, key).join(around, key)
 
 
 def ratio_distribution(sites: DataFrame, c: str = "log2_ratio") -> DataFrame:

@@ -86,17 +86,14 @@ def is_quantified(c: Column | str) -> Column:
 def node_filter_counts(psm: DataFrame, members: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per peptide node: ions, PSMs, replicates, peptides and whether anything was quantified."""
     by = list(by)
-    return (
-        psm.join(members, [*by, "peptide_key"])
-        .groupBy(*by, "peptide_node")
-        .agg(
-            F.sum("ions").alias("n_ions"),
-            F.countDistinct("psm_id").alias("n_psms"),
-            F.countDistinct("replicate").alias("n_replicates"),
-            F.countDistinct("peptide_key").alias("n_peptides"),
-            F.coalesce(F.bool_or(is_quantified("log2_ratio")), F.lit(False)).alias("quantified"),
-        )
+    key = [*by, "peptide_node"]
+    counts = psm.join(members, [*by, "peptide_key"]).groupBy(*key).agg(
+        F.sum("ions").alias("n_ions"),
+        F.count("*").alias("n_psms"),
+        F.size(F.collect_set("replicate")).alias("n_replicates"),  # as many as input files at most
+        F.coalesce(F.bool_or(is_quantified("log2_ratio")), F.lit(False)).alias("quantified"),
     )
+    return counts.join(members.groupBy(*key).agg(F.count("*").alias("n_peptides")), key)
 
 
 def node_predicate(

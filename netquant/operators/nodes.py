@@ -118,16 +118,18 @@ def joined_list(
 ) -> DataFrame:
     """Sorted distinct values of each group joined into one text cell.
 
-    Only groups of up to ``limit`` values are gathered. A larger set is written as its least value
-    and size; its rows remain whole in ``df`` itself.
+    Only groups of up to ``limit`` values are gathered. A larger set is written as its least value,
+    size and hash, which still tells sets apart; its rows remain whole in ``df`` itself.
     """
     keys = list(keys)
     distinct = df.select(*keys, value).filter(F.col(value).isNotNull()).distinct()
-    sizes = distinct.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(value).alias("_least"))
+    sizes = distinct.groupBy(*keys).agg(
+        F.count("*").alias("_n"), F.min(value).alias("_least"), F.bit_xor(F.xxhash64(value)).alias("_hash")
+    )
     small = distinct.join(sizes.filter(F.col("_n") > limit).select(*keys), keys, "left_anti")
     listed = small.groupBy(*keys).agg(F.concat_ws(sep, F.array_sort(F.collect_list(value))).alias(out))
     long = sizes.filter(F.col("_n") > limit).select(
-        *keys, F.format_string("%s (+%d)", F.col("_least").cast("string"), F.col("_n") - 1).alias(out)
+        *keys, F.format_string("%s (+%d, %016x)", F.col("_least").cast("string"), F.col("_n") - 1, F.col("_hash")).alias(out)
     )
     return listed.union(long)
 

@@ -241,29 +241,23 @@ def outlier_population(
     by = list(by)
     group = [*by, *PAIR, "protein_set"]
     finite = values.filter(is_finite("log2_ratio")).select(*by, "peptide_node", F.col("log2_ratio").alias("value"))
-    pairs = ratios.select(*by, *PAIR).distinct()
-    sets = ratios.select(*group)
-    shared = shared_by_protein_set(members, set_keys, by).join(finite, [*by, "peptide_node"]).select(*group, "value")
-    sides = {}
-    for side, other in (("node_1", "node_2"), ("node_2", "node_1")):
-        own = unique_nodes_of(pairs, links, side, other, by, unique_only).join(finite, [*by, "peptide_node"])
-        sides[side] = sets.join(own.select(*by, *PAIR, "value"), [*by, *PAIR])
-    tests = {
-        "u1": [shared, sides["node_2"]],
-        "s": [sides["node_1"], sides["node_2"]],
-        "u2": [sides["node_1"], shared],
-    }
     usable = ratios.filter(is_finite("u1") & is_finite("s") & is_finite("u2"))
-    rows = None
-    for test, populations in tests.items():
-        parts = [usable.select(*group, F.col(test).alias("value"), F.lit(True).alias("is_tested"))]
-        for population in populations:
-            kept = population.join(usable.select(*group), group, "left_semi")
-            parts.append(kept.select(*group, "value", F.lit(False).alias("is_tested")))
-        for part in parts:
-            part = part.withColumn("test", F.lit(test))
-            rows = part if rows is None else rows.unionByName(part)
-    return rows
+    sets = usable.select(*group)
+    pairs = sets.select(*by, *PAIR).distinct()
+
+    def feeds(rows: DataFrame, *tests: str) -> DataFrame:
+        """Values of one part, once for each test they are population of."""
+        names = F.explode(F.array(*[F.lit(t) for t in tests])).alias("test")
+        return rows.select(*group, names, "value", F.lit(False).alias("is_tested"))
+
+    shared = shared_by_protein_set(members, set_keys, by).join(sets, group, "left_semi").join(finite, [*by, "peptide_node"])
+    population = feeds(shared, "u1", "u2")
+    for side, other, tests in (("node_1", "node_2", ("s", "u2")), ("node_2", "node_1", ("u1", "s"))):
+        own = unique_nodes_of(pairs, links, side, other, by, unique_only).join(finite, [*by, "peptide_node"])
+        rows = sets.join(own.select(*by, *PAIR, "value"), [*by, *PAIR])
+        population = population.unionByName(feeds(rows, *tests))
+    tested = F.inline(F.array(*[F.struct(F.lit(t).alias("test"), F.col(t).alias("value")) for t in ("u1", "s", "u2")]))
+    return population.unionByName(usable.select(*group, tested).withColumn("is_tested", F.lit(True)))
 
 
 def classify_outlier(

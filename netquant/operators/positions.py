@@ -55,8 +55,11 @@ def protein_occurrences(edges: DataFrame, proteins: DataFrame) -> DataFrame:
     """
     listed = edges.groupBy("protein_acc").agg(F.collect_set("peptide_key").alias("_peptides"))
     rows = listed.join(proteins.select("protein_acc", "sequence"), "protein_acc")
-    found = rows.select("protein_acc", "sequence", F.explode("_peptides").alias("peptide_key")).select(
-        "protein_acc", "peptide_key", F.explode(occurrences("sequence", "peptide_key")).alias("start")
+    placed = F.transform(
+        "_peptides", lambda p: F.struct(p.alias("peptide_key"), occurrences(F.col("sequence"), p).alias("starts"))
+    )
+    found = rows.select("protein_acc", F.inline(placed)).select(
+        "protein_acc", "peptide_key", F.explode("starts").alias("start")
     )
     return found.withColumn("end", F.col("start") + F.length("peptide_key") - 1)
 

@@ -143,7 +143,8 @@ def agg9_individual_values(spark, sf_dir):
      FROM links JOIN protein_nodes USING (run_id, protein_node) GROUP BY ALL) USING (run_id, peptide_node)"""))
 def agg16_node_counts(spark, sf_dir):
     net = network(spark, sf_dir)
-    return aggregates.node_counts(net.psm, net.peptide_nodes, net.links, net.protein_nodes, RUN)
+    counts = aggregates.node_counts(net.psm, net.peptide_nodes, net.links, net.protein_nodes, RUN)
+    return counts.drop("raw_files", "log2_ratio", "n_meas", "sd")
 
 
 @QUERIES.add("agg17_infinity_helpers", with_views("psm", """SELECT run_id, peptide_key,

@@ -93,7 +93,7 @@ def test_long_lists_are_named_not_gathered(spark):
     rows = [("n1", f"m{i:02d}") for i in range(12)] + [("n2", "a"), ("n2", "b")]
     df = spark.createDataFrame(rows, "node string, member string")
     got = {r.node: r.key for r in nodes.joined_list(df, ["node"], "member", "key", limit=10).collect()}
-    assert got == {"n1": "m00 (+11)", "n2": "a b"}
+    assert got["n2"] == "a b" and got["n1"].startswith("m00 (+11, ")
 
 
 def test_discarded_and_kept_make_the_input(spark):
