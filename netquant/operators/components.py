@@ -53,8 +53,7 @@ def _numbered(vertices: DataFrame, by: list[str]) -> DataFrame:
     Range partitions sorted inside are numbered by partition and row: the ids keep the order with
     no global sort in one place. They are written, as a second computation could number otherwise.
     """
-    n = int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = vertices.repartitionByRange(n, *by, "vertex").sortWithinPartitions(*by, "vertex")
+    ordered = vertices.repartitionByRange(*by, "vertex").sortWithinPartitions(*by, "vertex")
     return cut(ordered.withColumn("id", F.monotonically_increasing_id()), "vertices")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netquant.functions.ratios import INF, has_finite_and_inf, is_finite, nan
+from netquant.lineage import cut
 from netquant.operators.aggregates import merged_ratio
 from netquant.operators.nodes import joined_list, unique_peptide_nodes
 from netquant.operators.ranking import grouped_median
@@ -217,7 +218,7 @@ def modified_z(
     Returns ``(keys, n_values, modified_z)``; a zero median deviation (equal values) gives 0, no outlier.
     """
     keys = list(keys)
-    center = grouped_median(population, keys, value, "_median")
+    center = cut(grouped_median(population, keys, value, "_median"), "medians")
     spread = population.join(center, keys).withColumn("_deviation", F.abs(F.col(value) - F.col("_median")))
     mad = grouped_median(spread, keys, "_deviation", "_mad")
     own = population.groupBy(*keys).agg(F.count("*").alias("n_values"), F.max(F.when(F.col(source), F.col(value))).alias(tested))

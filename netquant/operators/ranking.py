@@ -20,9 +20,11 @@ SLICE = "_slice"
 
 
 def sliced(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
-    """Range-partition by (by, order) and keep the partition number as a column."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *[F.col(c) for c in by], F.col(order))
+    """Range-partition by (by, order) and keep the partition number as a column.
+
+    The number of slices is left to adaptive execution, which joins neighbouring ranges only.
+    """
+    ranged = df.repartitionByRange(*[F.col(c) for c in by], F.col(order))
     return cut(ranged.withColumn(SLICE, F.spark_partition_id()), "slices")
 
 

@@ -4,15 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netquant.functions.ratios import (
-    all_inf,
-    has_finite_and_inf,
-    inf_count,
-    inf_mean,
-    inf_stddev,
-    only_finite,
-    same_infinity,
-)
+from netquant.functions.ratios import inf_count, inf_mean, inf_stddev
 from netquant.operators import aggregates, components, nodes
 from netquant.plans.tables import RUN, network, psm_table, read
 from netquant.queries.common import Registry, rounded, snum, sql_counts, sql_mean, sql_n, sql_sd, with_views
@@ -147,20 +139,6 @@ def agg16_node_counts(spark, sf_dir):
     return counts.drop("raw_files", "log2_ratio", "n_meas", "sd")
 
 
-@QUERIES.add("agg17_infinity_helpers", with_views("psm", """SELECT run_id, peptide_key,
-    p + g > 0 AND f > 0 AS mixed, n = p + g AS only_infinities, n = f AS only_numbers,
-    CASE WHEN p > 0 AND g = 0 THEN CAST('Infinity' AS DOUBLE) WHEN g > 0 AND p = 0 THEN CAST('-Infinity' AS DOUBLE) END AS same_infinity
-    FROM (SELECT run_id, peptide_key, """ + ", ".join(f"{text} AS {name}" for name, text in sql_counts("log2_ratio").items())
-    + " FROM psm GROUP BY ALL)"))
-def agg17_infinity_helpers(spark, sf_dir):
-    # Peptides of a run have few PSMs each; longer value sets go through the counting rules.
-    values = psm_table(spark, sf_dir).groupBy(*RUN, "peptide_key").agg(F.collect_set("log2_ratio").alias("v"))
-    return values.select(
-        *RUN, "peptide_key", has_finite_and_inf("v").alias("mixed"), all_inf("v").alias("only_infinities"),
-        (F.size(only_finite("v")) == F.size("v")).alias("only_numbers"), same_infinity("v").alias("same_infinity"),
-    )
-
-
 @QUERIES.add("fn2_log2_ratio", with_views("psm", f"SELECT run_id, psm_id, singleton, {snum('log2_ratio')} AS log2_ratio FROM psm"))
 def fn2_log2_ratio(spark, sf_dir):
     return rounded(psm_table(spark, sf_dir).select(*RUN, "psm_id", "singleton", "log2_ratio"), "log2_ratio")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from netquant.functions.ratios import all_inf, has_finite_and_inf, only_finite, same_infinity
 from netquant.lineage import cut
 from netquant.operators import aggregates, pairs
 from netquant.plans.tables import RUN, network
@@ -137,6 +138,19 @@ def pr1_fold_cases_loose(spark, sf_dir):
     return rounded(table, "u1", "u2").drop("s", "n_sharing")
 
 
+@QUERIES.add("agg17_infinity_helpers", with_views(RATIO_NEEDS, """SELECT run_id, node_1, node_2, protein_set, p + g > 0 AND f > 0 AS mixed, p + g = 3 AS only_infinities,
+    f AS n_numbers, CASE WHEN p > 0 AND g = 0 THEN CAST('Infinity' AS DOUBLE) WHEN g > 0 AND p = 0 THEN CAST('-Infinity' AS DOUBLE) END AS same_infinity
+    FROM (SELECT *, len(list_filter([u1, s, u2], lambda x: isinf(x) AND x > 0)) AS p, len(list_filter([u1, s, u2], lambda x: isinf(x) AND x < 0)) AS g,
+    CAST(len(list_filter([u1, s, u2], lambda x: isfinite(x))) AS INTEGER) AS f FROM pair_ratio)""", RATIO_VIEWS))
+def agg17_infinity_helpers(spark, sf_dir):
+    """The helpers on the three ratios of each pair."""
+    table = pair_ratio_table(network(spark, sf_dir)).withColumn("v", F.array("u1", "s", "u2"))
+    return table.select(
+        *RUN, "node_1", "node_2", "protein_set", has_finite_and_inf("v").alias("mixed"), all_inf("v").alias("only_infinities"),
+        F.size(only_finite("v")).alias("n_numbers"), same_infinity("v").alias("same_infinity"),
+    )
+
+
 def outlier_scores(net, ratios):
     sets = pairs.protein_set_keys(net.links, RUN)
     values = aggregates.individual_values(net.psm, net.peptide_nodes, RUN)

@@ -29,6 +29,16 @@ def test_student_table_values():
     assert np.isnan(student_p_values(np.array([NAN]), np.array([3.0])))[0]
 
 
+@pytest.fixture
+def many_slices(spark):
+    """Keep every range partition as a slice, as large data would."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, before)
+
+
 def plain_by(ps, method):
     order = sorted(range(len(ps)), key=lambda i: ps[i])
     m = len(ps)
@@ -42,7 +52,7 @@ def plain_by(ps, method):
 
 
 @pytest.mark.parametrize("method", ["BY", "BH"])
-def test_correction_matches_definition(spark, method):
+def test_correction_matches_definition(spark, method, many_slices):
     rng = random.Random(4)
     ps = [round(rng.random() ** 3, 3) for _ in range(300)]
     rows = [(g, i, p, True) for g in "ab" for i, p in enumerate(ps)] + [("a", 900, 0.0, False), ("a", 901, NAN, True)]
@@ -68,10 +78,11 @@ def test_harmonic(spark):
 
 
 @pytest.mark.parametrize("by", [[], ["g"]])
-def test_running_values_cross_slices(spark, by):
+def test_running_values_cross_slices(spark, by, many_slices):
     rows = [("a", i, (i * 7) % 11) for i in range(200)] if not by else [(g, i, (i * 7) % 11) for g in "aab" for i in range(100 if g == "b" else 0, 200)]
     df = spark.createDataFrame(sorted(set(rows)), "g string, o int, v int")
     slices = ranking.sliced(df, by, "o")
+    assert slices.select(ranking.SLICE).distinct().count() > 2
     got = slices
     for kind in ("sum", "max", "min"):
         got = ranking.running(got, by, "o", F.col("v"), kind, f"r_{kind}")
@@ -83,7 +94,7 @@ def test_running_values_cross_slices(spark, by):
         assert row.r_min == min(v for o, v in mine if o >= row.o)
 
 
-def test_grouped_median(spark):
+def test_grouped_median(spark, many_slices):
     rng = random.Random(2)
     rows = [(g, round(rng.random(), 2)) for g, n in (("a", 51), ("b", 40), ("c", 1)) for _ in range(n)]
     got = {r.g: r.m for r in ranking.grouped_median(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", "m").collect()}
