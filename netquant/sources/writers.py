@@ -29,7 +29,7 @@ def unfinished(groups: DataFrame, done: DataFrame) -> DataFrame:
     return groups.join(done.select("comparison_id").distinct(), "comparison_id", "left_anti")
 
 
-def psea_tables(means: DataFrame, replicates: Sequence[str], keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def replicate_matrices(means: DataFrame, replicates: Sequence[str], keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Gene x replicate matrix of mean ratios and that of their inverses."""
     def wide(value: str) -> DataFrame:
         return means.groupBy(*keys).pivot("replicate", list(replicates)).agg(F.first(value)).orderBy(*keys)
