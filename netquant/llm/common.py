@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ def byte_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int) ->
     """The same rows in batches of about ``limit`` bytes of text, so that memory doesn't follow the row count."""
     for batch in batches:
         sizes = batch.column(batch.schema.get_field_index(column))
-        lengths = pa.compute.binary_length(sizes).fill_null(0).to_pylist()
+        lengths = pc.binary_length(sizes).fill_null(0).to_pylist()
         first = held = 0
         for at, n in enumerate(lengths):
             if held and held + n > limit:

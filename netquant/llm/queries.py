@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquant.lineage import cut
-from netquant.llm import bpe, counts, packing
+from netquant.llm import bpe, counts, langid, packing, quality, toxicity
 from netquant.llm.common import Registry, table
 
 QUERIES = Registry()
@@ -17,6 +17,13 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 CONTEXT_LIMITS = [2**k for k in range(9, 18)]
 
 
+@QUERIES.add("op1_classifier_chain")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, chain).drop("text")
+
+
 @QUERIES.add("op2_bpe_tree_concat")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE)
@@ -36,3 +43,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     cuts = packing.pieces(table(spark, sf_dir, "documents"), WORD_BPE)
     narrow = cuts.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
     return packing.pack(cut(narrow, "pieces"))
+
+
+@QUERIES.add("op6_importance_resampling")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.resample(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+@QUERIES.add("op9_language_mixture")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predictions(table(spark, sf_dir, "documents"))

