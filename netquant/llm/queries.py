@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquant.lineage import cut
-from netquant.llm import bpe, counts, langid, packing, quality, toxicity
+from netquant.llm import bpe, counts, fingerprints, langid, packing, quality, toxicity
 from netquant.llm.common import Registry, table
 
 QUERIES = Registry()
@@ -54,3 +54,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @QUERIES.add("op9_language_mixture")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"))
+
+
+@QUERIES.add("op10_locally_consistent_parsing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
