@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquant.lineage import cut
-from netquant.llm import bpe, counts, fingerprints, langid, packing, quality, toxicity
+from netquant.llm import bpe, counts, fingerprints, langid, packing, pii, quality, toxicity
 from netquant.llm.common import Registry, table
 
 QUERIES = Registry()
@@ -59,3 +59,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @QUERIES.add("op10_locally_consistent_parsing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
+
+
+@QUERIES.add("op4_candidate_boosting")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(docs))
+    spans = F.col("spans")
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.sha2(pii.listed(spans, lambda s: s["base"]), 256)
+    return found.select("doc_id", *map(count, pii.BASE), base.alias("base_sha256"), pii.listed(spans).alias("spans"))
