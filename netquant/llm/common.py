@@ -45,8 +45,3 @@ def byte_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int) ->
             held += n
         if first < batch.num_rows:
             yield batch.slice(first)
-
-
-def word_array(text: str) -> Column:
-    """Lower-case words of a text: runs of letters and digits."""
-    return F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")

@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from netquant.lineage import cut
-from netquant.llm import bpe, counts, fingerprints, langid, packing, pii, quality, toxicity
+from netquant.llm import bpe, counts, embeddings, fingerprints, langid, neardup, packing, pii, quality, toxicity
 from netquant.llm.common import Registry, table
 
 QUERIES = Registry()
@@ -69,3 +70,17 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.sha2(pii.listed(spans, lambda s: s["base"]), 256)
     return found.select("doc_id", *map(count, pii.BASE), base.alias("base_sha256"), pii.listed(spans).alias("spans"))
+
+
+@QUERIES.add("op5_subspace_pigeonhole")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@QUERIES.add("op8_weighted_minhash")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", F.col("first").alias("kept"))
+
+
+QUERIES.add("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
