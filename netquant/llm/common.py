@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,3 +46,20 @@ def byte_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int) ->
             held += n
         if first < batch.num_rows:
             yield batch.slice(first)
+
+
+def hook(parent: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Join the sets of linked rows; afterwards every row points to its root."""
+    while len(x):
+        a, b = parent[x], parent[y]
+        apart = a != b
+        if not apart.any():
+            break
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent = up
+    return parent

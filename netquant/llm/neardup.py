@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netquant.lineage import cut
-from netquant.llm.common import byte_batches
+from netquant.llm.common import byte_batches, hook
 from netquant.llm.features import chunks, mixed, word_hashes
 from netquant.operators.components import connected_components
 
@@ -31,6 +31,10 @@ DRAWS = BANDS * ROWS
 AGREE = 24
 #: Buckets of the document-frequency sketch, and how much a rare shingle outweighs one that every document has.
 SKETCH, RARE = 1 << 18, 0.25
+#: Bits that a shingle's hash leaves to the number of its text, so that both sort as one number.
+OWNER_BITS = 14
+#: Features of a tile that are multiplied at once.
+STEP = 2_048
 #: Members of one side of a bucket that meet in one group.
 TILE = 1_500
 
@@ -42,20 +46,24 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     """
     word, doc = word_hashes([t.lower() for t in texts], signs=False)
     words = np.bincount(doc, minlength=len(texts))
-    first = np.cumsum(words) - words
-    size = np.minimum(words, WORDS)
-    count = np.maximum(words - WORDS + 1, np.minimum(words, 1))
-    owner = np.repeat(np.arange(len(texts)), count)
-    start = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(owner))
-    code = np.zeros(len(owner), np.uint64)
+    if not len(word):
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), words
+    padded = np.concatenate([word, np.zeros(WORDS, np.uint64)])
+    code, inside = np.zeros(len(word), np.uint64), np.append(doc, np.full(WORDS, -1))
     for k in range(WORDS):
-        here = k < size[owner]
-        at = np.minimum(start + k, max(len(word) - 1, 0))
-        code = np.where(here, mixed(code * np.uint64(0x100000001B3) + (word[at] if len(word) else code)), code)
-    order = np.lexsort((code, owner))
-    code, owner = code[order], owner[order]
-    if not len(code):
-        return code, owner, owner, words
+        # Words beyond the text's end count as none, so a short text is one shingle.
+        part = padded[k : k + len(word)]
+        code = code * np.uint64(0x9E3779B97F4A7C15) + (part if k == 0 else np.where(inside[k : k + len(word)] == doc, part, np.uint64(0)))
+    first = np.cumsum(words) - words
+    place = np.arange(len(word)) - first[doc]
+    begins = place <= np.maximum(words - WORDS, 0)[doc]
+    code, owner = mixed(code[begins]) >> np.uint64(OWNER_BITS), doc[begins]
+    if len(texts) < 1 << OWNER_BITS:
+        packed = np.sort((owner.astype(np.uint64) << np.uint64(64 - OWNER_BITS)) | code)
+        owner, code = (packed >> np.uint64(64 - OWNER_BITS)).astype(np.int64), packed & np.uint64((1 << (64 - OWNER_BITS)) - 1)
+    else:
+        order = np.lexsort((code, owner))
+        code, owner = code[order], owner[order]
     head = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])]))
     return code[head], np.diff(np.append(head, len(code))), owner[head], words
 
@@ -219,8 +227,11 @@ def _leaders(banded: DataFrame) -> DataFrame:
     return banded.join(led.select("band", "key", F.col("first.node").alias("leader")), ["band", "key"])
 
 
-def _remaining(members: DataFrame, links: DataFrame, component: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of a bucket in different components of which one failed with the leader, if their signatures agree often enough."""
+def _remaining(members: DataFrame, links: DataFrame, component: DataFrame, texts: DataFrame, idf: Broadcast, similar: float = SIMILAR) -> DataFrame:
+    """Further links: in each bucket, members that failed with the leader meet the members of other components.
+
+    Both sides of a bucket are dealt to tiles of bounded size, and a tile sends a spanning forest of its links, never its pairs.
+    """
     joined = links.select(F.col("a").alias("node"), F.col("b").alias("leader"), F.lit(True).alias("linked")).distinct()
     held = members.join(joined, ["node", "leader"], "left").join(component, "node", "left")
     held = held.select(
@@ -233,27 +244,62 @@ def _remaining(members: DataFrame, links: DataFrame, component: DataFrame, nodes
     mixed_buckets = sizes.filter("nu > 0 and lo < hi").select(
         "band", "key", F.ceil(F.col("nu") / TILE).cast("int").alias("pu"), F.ceil(F.col("nm") / TILE).cast("int").alias("pm")
     )
-    rows = cut(held.join(mixed_buckets, ["band", "key"]).join(nodes.select("node", "draws"), "node"), "mixed-buckets")
+    rows = cut(held.join(mixed_buckets, ["band", "key"]), "mixed-buckets")
     spot = lambda parts: F.pmod(F.xxhash64(F.lit(5), "node"), F.col(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    fields = ["band", "key", "node", "component", "draws"]
+    fields = ["band", "key", "node", "component"]
     failed = rows.filter("failed = 1").select(*fields, F.lit(0).alias("side"), spot("pu").alias("u"), every("pm").alias("m"))
     others = rows.select(*fields, F.lit(1).alias("side"), every("pu").alias("u"), spot("pm").alias("m"))
-    return failed.union(others).groupBy("band", "key", "u", "m").applyInArrow(_across, "a long, b long").distinct()
+    dealt = failed.union(others).join(texts, "node")
+
+    def run(group: pa.Table) -> pa.Table:
+        return _across(group, idf.value, similar)
+
+    return dealt.groupBy("band", "key", "u", "m").applyInArrow(run, "a long, b long")
 
 
-def _across(group: pa.Table) -> pa.Table:
+def _across(group: pa.Table, factor: np.ndarray, similar: float) -> pa.Table:
     side, node, component = (group.column(c).to_numpy() for c in ("side", "node", "component"))
-    drawn = np.frombuffer(b"".join(group.column("draws").to_pylist()), np.uint32).reshape(-1, DRAWS)
+    code, count, owner, _ = shingles(group.column("text").to_pylist())
+    weight = factor[(code % np.uint64(SKETCH)).astype(np.int64)]
+    total = np.bincount(owner, count * weight, minlength=len(node))
+    # A shingle that occurs n times is n features of the same weight: shared ones add up to the smaller count.
+    level = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    feature, owner, weight = mixed(np.repeat(code, count) + level.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), np.repeat(owner, count), np.repeat(weight, count)
+    of = [side[owner] == 0, side[owner] == 1]
+    shared = np.intersect1d(feature[of[0]], feature[of[1]])
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    a, b = [], []
-    for i in left.tolist():
-        other = right[component[right] != component[i]]
-        hit = other[(drawn[other] == drawn[i]).sum(1) >= AGREE]
-        a.append(np.minimum(node[hit], node[i]))
-        b.append(np.maximum(node[hit], node[i]))
-    empty = [np.empty(0, np.int64)]
-    return pa.Table.from_arrays([pa.array(np.concatenate(a + empty)), pa.array(np.concatenate(b + empty))], ["a", "b"])
+    place = np.empty(len(node), np.int64)
+    place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+    low = np.zeros((len(left), len(right)), np.float32)
+    at = np.searchsorted(shared, feature)
+    hit = (at < len(shared)) & (shared[np.minimum(at, max(len(shared) - 1, 0))] == feature) if len(shared) else np.zeros(len(feature), bool)
+    for k in range(0, len(shared), STEP):
+        mats = []
+        for s, n in ((0, len(left)), (1, len(right))):
+            here = hit & of[s] & (at >= k) & (at < k + STEP)
+            mat = np.zeros((n, min(STEP, len(shared) - k)), np.float32)
+            mat[place[owner[here]], at[here] - k] = weight[here] if s == 0 else 1
+            mats.append(mat)
+        low += mats[0] @ mats[1].T
+    value = low / np.maximum(total[left][:, None] + total[right][None, :] - low, 1e-9)
+    apart = component[left][:, None] != component[right][None, :]
+    i, j = np.nonzero((value >= similar - 1e-4) & apart)
+    close = np.abs(value[i, j] - similar) <= 1e-4
+    if close.any():
+        texts = group.column("text")
+
+        def weighed(r: int):
+            c, n, _, _ = shingles([texts[r].as_py()])
+            return c, weights(c, n, factor)
+
+        exact = [similarity(weighed(int(left[x])), weighed(int(right[y]))) >= similar for x, y in zip(i[close], j[close])]
+        keep = np.ones(len(i), bool)
+        keep[close] = exact
+        i, j = i[keep], j[keep]
+    parent = hook(np.arange(len(node)), left[i], right[j])
+    moved = np.flatnonzero(parent != np.arange(len(node)))
+    return pa.Table.from_arrays([pa.array(node[moved], pa.int64()), pa.array(node[parent[moved]], pa.int64())], ["a", "b"])
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -286,7 +332,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     texts = cut(source.join(keyed, match).select("node", "text").dropDuplicates(["node"]), "texts")
     links = cut(verified(agreeing, texts, idf), "links")
     component = cut(_components(links), "components")
-    more = cut(verified(_remaining(members, links, component, nodes), texts, idf), "links")
+    more = cut(_remaining(members, links, component, texts, idf), "links")
     if not more.isEmpty():
         component = cut(_components(links.union(more)), "components")
     named = nodes.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
