@@ -87,7 +87,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col:
             weights = []
             for _, part in chunks(batch.column(text_col).to_pylist()):
                 bucket, doc = ngram_buckets(part, buckets)
-                weights.append(np.bincount(doc, table[bucket], minlength=len(part)))
+                weights.append(np.bincount(doc, table[bucket], minlength=len(part)).astype(float))
             new = pa.array(np.concatenate(weights) if weights else np.zeros(0))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), new], [*names, "log_weight"])
 

@@ -95,7 +95,7 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, fold: np.ndarray, folds: int) -
 
     Also the limit that gives the first category its best F1 on the out-of-fold probabilities.
     """
-    weights, inputs, limit = [], x, 0.5
+    weights, inputs, limit = [], x, 2.0  # without a positive row nothing is flagged
     for k in range(labels.shape[1]):
         y = labels[:, k]
         weights.append(fit_linear(inputs, y))
