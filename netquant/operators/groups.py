@@ -30,7 +30,8 @@ def group_compare(
     aggregated, sides = [], []
     for side in (1, 2):
         k = RatioCounts.read(f"_{side}_")
-        aggregated += RatioCounts(F.when(F.col("side") == side, F.col("log2_ratio"))).columns(f"_{side}_")
+        measured = (F.col("side") == side) & ~F.isnan("log2_ratio")  # absent sites are no measurement
+        aggregated += RatioCounts(F.when(measured, F.col("log2_ratio"))).columns(f"_{side}_")
         sides += [
             F.coalesce(inf_mean(k), nan()).alias(f"m_{side}"),
             inf_count(k).alias(f"n_{side}"),

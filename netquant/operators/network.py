@@ -37,7 +37,7 @@ def protein_node_attributes(
 ) -> DataFrame:
     """Protein nodes: counts, pair cases, annotation strings and the two conclusive flags.
 
-    A node is conclusive with a peptide node of its own, a protein with one peptide of its own.
+    A node is conclusive with a peptide node of its own, a protein with exactly one peptide.
     """
     by = list(by)
     key = [*by, "protein_node"]
@@ -60,7 +60,7 @@ def protein_node_attributes(
                 "n_unique_nodes": F.coalesce("n_unique_nodes", F.lit(0)),
                 "cases": F.coalesce("cases", F.lit("")),
                 "conclusive_node": F.coalesce("n_unique_nodes", F.lit(0)) > 0,
-                "conclusive_protein": (F.col("n_proteins") == 1) & (F.coalesce("n_unique_nodes", F.lit(0)) > 0),
+                "conclusive_protein": F.col("n_peptides") == 1,
                 "is_protein": F.lit(True),
             }
         )

@@ -62,15 +62,18 @@ def protein_pairs(links: DataFrame, by: Sequence[str] = (), alignments: DataFram
 
 
 def orient_pairs(pairs: DataFrame, links: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``(by, first_node, second_node)``: the node with unique peptides first, else the greater key first."""
+    """``(by, first_node, second_node)``: the node with a peptide node that the other lacks first, else the greater key first."""
     by = list(by)
-    has = unique_peptide_nodes(links, by).select(*by, "protein_node").distinct().withColumn("_has", F.lit(True))
-    one = has.select(*by, F.col("protein_node").alias("node_1"), F.col("_has").alias("_has_1"))
-    two = has.select(*by, F.col("protein_node").alias("node_2"), F.col("_has").alias("_has_2"))
-    flagged = pairs.join(one, [*by, "node_1"], "left").join(two, [*by, "node_2"], "left")
-    has_1, has_2 = F.coalesce("_has_1", F.lit(False)), F.coalesce("_has_2", F.lit(False))
+    links = links.select(*by, "protein_node", "peptide_node").distinct()
+    degree = links.groupBy(*by, "protein_node").agg(F.count("*").alias("_n"))
+    one = degree.select(*by, F.col("protein_node").alias("node_1"), F.col("_n").alias("_n_1"))
+    two = degree.select(*by, F.col("protein_node").alias("node_2"), F.col("_n").alias("_n_2"))
+    shared = pair_members(links, by).groupBy(*by, *PAIR).agg(F.count("*").alias("_shared"))
+    counted = pairs.join(shared, [*by, *PAIR], "left").join(one, [*by, "node_1"], "left").join(two, [*by, "node_2"], "left")
+    both = F.coalesce("_shared", F.lit(0))
+    has_1, has_2 = F.coalesce("_n_1", F.lit(0)) > both, F.coalesce("_n_2", F.lit(0)) > both
     keep = F.when(has_1 != has_2, has_1).otherwise(F.col("node_1") > F.col("node_2"))
-    return flagged.select(
+    return counted.select(
         *by,
         F.when(keep, F.col("node_1")).otherwise(F.col("node_2")).alias("first_node"),
         F.when(keep, F.col("node_2")).otherwise(F.col("node_1")).alias("second_node"),

@@ -208,7 +208,7 @@ REST_SQL = """SELECT comparison_id, sample, 1 AS side FROM groups UNION ALL SELE
 
 def sql_group_tests(keys: str) -> dict[str, str]:
     def side(i: int) -> str:
-        x = f"CASE WHEN side = {i} THEN log2_ratio END"
+        x = f"CASE WHEN side = {i} AND NOT isnan(log2_ratio) THEN log2_ratio END"
         x = f"({x})"
         return f"coalesce({sql_mean(x)}, {NAN}) AS m_{i}, {sql_n(x)} AS n_{i}, {sql_sd(x)} AS sd_{i}"
 

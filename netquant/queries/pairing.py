@@ -63,11 +63,15 @@ def gr15_protein_pairs(spark, sf_dir):
     return pairs.protein_pairs(network(spark, sf_dir).links, RUN)
 
 
-@QUERIES.add("gr16_oriented_pairs", with_views("pairs uniq", """SELECT run_id, CASE WHEN keep THEN node_1 ELSE node_2 END AS first_node,
+LACKS = """SELECT DISTINCT p.run_id, p.node_1, p.node_2 FROM pairs p JOIN links l ON l.run_id = p.run_id AND l.protein_node = p.{one}
+    LEFT JOIN links m ON m.run_id = p.run_id AND m.protein_node = p.{other} AND m.peptide_node = l.peptide_node WHERE m.peptide_node IS NULL"""
+
+
+@QUERIES.add("gr16_oriented_pairs", with_views("pairs links", f"""SELECT run_id, CASE WHEN keep THEN node_1 ELSE node_2 END AS first_node,
     CASE WHEN keep THEN node_2 ELSE node_1 END AS second_node FROM (SELECT *, CASE WHEN h1 AND NOT h2 THEN true WHEN h2 AND NOT h1 THEN false
-    ELSE node_1 > node_2 END AS keep FROM (SELECT *,
-      EXISTS (SELECT 1 FROM uniq u WHERE u.run_id = pairs.run_id AND u.protein_node = node_1) AS h1,
-      EXISTS (SELECT 1 FROM uniq u WHERE u.run_id = pairs.run_id AND u.protein_node = node_2) AS h2 FROM pairs))"""))
+    ELSE node_1 > node_2 END AS keep FROM (SELECT pairs.*, a.node_1 IS NOT NULL AS h1, b.node_1 IS NOT NULL AS h2 FROM pairs
+      LEFT JOIN ({LACKS.format(one="node_1", other="node_2")}) a ON a.run_id = pairs.run_id AND a.node_1 = pairs.node_1 AND a.node_2 = pairs.node_2
+      LEFT JOIN ({LACKS.format(one="node_2", other="node_1")}) b ON b.run_id = pairs.run_id AND b.node_1 = pairs.node_1 AND b.node_2 = pairs.node_2))"""))
 def gr16_oriented_pairs(spark, sf_dir):
     links = network(spark, sf_dir).links
     return pairs.orient_pairs(pairs.protein_pairs(links, RUN), links, RUN)

@@ -450,7 +450,7 @@ def peptide_attributes(spark, sf_dir):
 
 
 @QUERIES.add("net2_protein_nodes", with_views(pairing.RATIO_NEEDS + " protein_nodes peptide_nodes protein", """SELECT k.run_id, k.protein_node, n_peptide_nodes, n_peptides, n_proteins,
-    coalesce(u, 0) AS n_unique_nodes, coalesce(cases, '') AS cases, genes, coalesce(u, 0) > 0 AS conclusive_node, n_proteins = 1 AND coalesce(u, 0) > 0 AS conclusive_protein, true AS is_protein
+    coalesce(u, 0) AS n_unique_nodes, coalesce(cases, '') AS cases, genes, coalesce(u, 0) > 0 AS conclusive_node, n_peptides = 1 AS conclusive_protein, true AS is_protein
     FROM (SELECT run_id, protein_node, count(DISTINCT peptide_node) AS n_peptide_nodes, count(DISTINCT peptide_key) AS n_peptides FROM links JOIN peptide_nodes USING (run_id, peptide_node) GROUP BY ALL) k
     JOIN (SELECT run_id, protein_node, count(*) AS n_proteins FROM protein_nodes GROUP BY ALL) USING (run_id, protein_node)
     LEFT JOIN (SELECT run_id, protein_node, count(*) AS u FROM uniq GROUP BY ALL) USING (run_id, protein_node)
