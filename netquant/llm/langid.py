@@ -112,34 +112,38 @@ def infer(model: Model, texts: list[str], penalty: float, largest: int, rounds:
     row, logs = key // buckets, model.logs[key % buckets]
     first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
     here = row[first]  # texts with trigrams
-    row = np.cumsum(np.concatenate([[False], row[1:] != row[:-1]]))
+    runs = np.diff(np.append(first, len(row)))
     count, n = count.astype(np.float64), total[here]
     shift = logs.max(1)
-    likely = np.exp(logs - shift[:, None]).astype(np.float64)
+    # One contiguous row per language.
+    likely = np.exp(np.ascontiguousarray((logs - shift[:, None]).T, np.float64))
     base = np.add.reduceat(count * shift, first)
 
-    def fit(share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Proportions after expectation maximisation from ``share`` (zeros stay zero) and the log-likelihood."""
-        for _ in range(rounds):
-            part = likely * share[row]
-            part *= (count / part.sum(1))[:, None]
-            share = np.add.reduceat(part, first) / n[:, None]
-        return share, base + np.add.reduceat(count * np.log((likely * share[row]).sum(1) + 1e-300), first)
+    def fit(likely: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Proportions of the languages of ``likely`` after expectation maximisation from ``share``, and the log-likelihood."""
+        for _ in range(rounds if len(share) > 1 else 0):  # a single language keeps all of its text
+            part = likely * np.repeat(share, runs, axis=1)
+            part *= count / part.sum(0)
+            share = np.add.reduceat(part, first, axis=1) / n
+        return share, base + np.add.reduceat(count * np.log((likely * np.repeat(share, runs, axis=1)).sum(0) + 1e-300), first)
 
-    share, _ = fit(np.full((len(here), k), 1.0 / k))
-    order = np.argsort(-share, axis=1, kind="stable")
+    share, _ = fit(likely, np.full((k, len(here)), 1.0 / k))
+    order = np.argsort(-share, axis=0, kind="stable")
     best, best_share = np.full(len(here), -np.inf), share
     chosen = np.ones(len(here), np.int64)
     fitted = np.zeros(len(here))
     for size in range(1, min(largest, k) + 1):
-        mask = np.zeros((len(here), k))
-        np.put_along_axis(mask, order[:, :size], 1.0 / size, axis=1)
-        now, value = fit(mask)
+        strongest = order[:size]
+        part = np.take_along_axis(likely, np.repeat(strongest, runs, axis=1), axis=0)
+        among, value = fit(part, np.full((size, len(here)), 1.0 / size))
+        now = np.zeros((k, len(here)))
+        np.put_along_axis(now, strongest, among, axis=0)
         worth = value - penalty * size * np.log(n + 1)
         better = worth > best
         best = np.where(better, worth, best)
-        best_share = np.where(better[:, None], now, best_share)
+        best_share = np.where(better, now, best_share)
         chosen, fitted = np.where(better, size, chosen), np.where(better, value, fitted)
+    best_share = best_share.T
     ranks = np.argsort(-best_share, axis=1, kind="stable")
     pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
     sets: list[list[str]] = [[] for _ in texts]
