@@ -29,7 +29,7 @@ from tokenizers import Tokenizer  # noqa: E402
 #: Bytes of a pre-token beyond which it is encoded in halves.
 LONG = 512
 #: Code points handled at once, and words that a worker keeps; both only bound memory.
-CHUNK, KEPT = 2_000_000, 500_000
+CHUNK, KEPT = 500_000, 200_000
 
 OTHER, LETTER, NUMBER, SPACE, BLANK, END, UNKNOWN = range(7)
 #: The code points of the Unicode property White_Space.
