@@ -66,11 +66,12 @@ def occurrences(sequence: Column | str, peptide: Column | str) -> Column:
     """1-based starts of every occurrence of the peptide, overlapping ones included.
 
     The sequence is split at the peptide and the piece lengths are added up; only a peptide that
-    can overlap itself needs the slower zero-width split.
+    can overlap itself needs the slower zero-width split. Stop signs and other signs count as letters.
     """
     s, p = _col(sequence), _col(peptide)
     overlapping = overlaps_itself(p)
-    pieces = F.when(overlapping, F.split(s, F.concat(F.lit("(?="), p, F.lit(")")), -1)).otherwise(F.split(s, p, -1))
+    quoted = F.concat(F.lit("\\Q"), p, F.lit("\\E"))
+    pieces = F.when(overlapping, F.split(s, F.concat(F.lit("(?="), quoted, F.lit(")")), -1)).otherwise(F.split(s, quoted, -1))
     lengths = F.transform(pieces, F.length)
     step = F.when(overlapping, F.lit(0)).otherwise(F.length(p))
     before = lambda i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda a, x: a + x)
@@ -103,9 +104,10 @@ def parse_ptm_specs(text: str) -> list[tuple[float | None, str | None]]:
 
 
 def ptm_code(mass: Column, masses: Column) -> Column:
-    """Symbol of a mass by its rank among the sorted distinct masses; null beyond the symbols."""
+    """Symbol of a mass by its rank among the sorted distinct masses; beyond the symbols the rank itself."""
     symbols = F.array(*[F.lit(code) for code in PTM_CODES])
-    return F.try_element_at(symbols, F.array_position(masses, mass).cast("int"))
+    rank = F.array_position(masses, mass).cast("int")
+    return F.coalesce(F.try_element_at(symbols, rank), rank.cast("string"))
 
 
 def full_sequence(sequence: Column | str, ptms: Column | str) -> Column:

@@ -48,12 +48,11 @@ def channel_pairs(
 def centre(ratios: DataFrame, by: Sequence[str] = PAIR, c: str = "log2_ratio") -> DataFrame:
     """Subtract the mean of each group's finite values; infinities and NaN stay.
 
-    The means are a map-side combined aggregate, not a window over a whole pair. They are broadcast:
-    one row per channel pair.
+    The means are a map-side combined aggregate, not a window over a whole pair.
     """
     means = ratios.groupBy(*by).agg(finite_mean(c).alias("_mean"))
     shifted = F.when(is_finite(c) & ~F.isnan("_mean"), F.col(c) - F.col("_mean")).otherwise(F.col(c))
-    return ratios.join(F.broadcast(means), list(by)).withColumn(c, shifted).drop("_mean")
+    return ratios.join(means, list(by)).withColumn(c, shifted).drop("_mean")
 
 
 def histogram(ratios: DataFrame, by: Sequence[str] = PAIR, bins: int | None = None, c: str = "log2_ratio") -> DataFrame:
@@ -67,7 +66,7 @@ def histogram(ratios: DataFrame, by: Sequence[str] = PAIR, bins: int | None = No
     spans = spans.withColumn("_bins", n_bins).withColumn("width", (F.col("_max") - F.col("_min")) / F.col("_bins"))
     place = F.floor(F.try_divide(F.col("_x") - F.col("_min"), F.col("width")))
     binned = (
-        finite.join(F.broadcast(spans), list(by))  # one row per channel pair
+        finite.join(spans, list(by))
         .withColumn("bin", F.least(F.greatest(F.coalesce(place, F.lit(0)), F.lit(0)), F.col("_bins") - 1).cast("int"))
         .groupBy(*by, "bin", "_min", "width", "_bins")
         .agg(F.count("*").alias("count"))
@@ -146,7 +145,7 @@ def gaussian_pvalues(
     by = list(by)
     centred = centre(ratios, by)
     fits = fit_gaussians(histogram(centred, by, bins), by) if fits is None else fits
-    scored = centred.join(F.broadcast(fits), by, "left").withColumn(
+    scored = centred.join(fits, by, "left").withColumn(
         "p", F.when(is_finite("log2_ratio"), tail_p(F.col("log2_ratio"), F.col("mu"), F.col("sigma"))).otherwise(nan())
     )
     adjusted = p_adjust(scored, by, method)

@@ -143,7 +143,10 @@ def apply_node_filters(
 def filter_to_fixpoint(
     psm: DataFrame, edges: DataFrame, by: Sequence[str] = (), remove: bool = True, max_rounds: int = 50, **limits
 ) -> tuple[DataFrame, DataFrame]:
-    """Collapse and filter again until a round removes no edge; tagging needs a single round."""
+    """Collapse and filter again until a round removes no edge; tagging needs a single round.
+
+    An error if ``max_rounds`` rounds do not reach that state.
+    """
     psm, edges = cut(psm, "psm"), cut(edges, "edges")
     before = edges.count()
     for _ in range(max_rounds if remove else 1):
@@ -151,10 +154,10 @@ def filter_to_fixpoint(
         psm, edges = apply_node_filters(psm, edges, members, by, **limits)
         psm, edges = cut(psm, "psm"), cut(edges, "edges")
         after = edges.count()
-        if after == before:
-            break
+        if after == before or not remove:
+            return psm, edges
         before = after
-    return psm, edges
+    raise RuntimeError(f"filters not stable after {max_rounds} rounds")
 
 
 def ptm_matches(ptm: Column, specs: Sequence[tuple[float | None, str | None]]) -> Column:

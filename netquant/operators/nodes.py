@@ -12,9 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Longest member list written into one text cell; longer sets are named by least member and size.
-LIST_LIMIT = 100_000
-
 
 def peptide_protein_edges(psm: DataFrame, psm_protein: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Distinct ``(by, peptide_key, protein_acc)``; the proteins of a peptide are those of its PSMs."""
@@ -113,25 +110,14 @@ def unique_peptide_nodes(links: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def joined_list(
-    df: DataFrame, keys: Sequence[str], value: str, out: str, sep: str = " ", limit: int = LIST_LIMIT
-) -> DataFrame:
-    """Sorted distinct values of each group joined into one text cell.
+def joined_list(df: DataFrame, keys: Sequence[str], value: str, out: str, sep: str = " ") -> DataFrame:
+    """Sorted distinct values of each group joined into one text cell, whatever their number.
 
-    Only groups of up to ``limit`` values are gathered. A larger set is written as its least value,
-    size and hash, which still tells sets apart; its rows remain whole in ``df`` itself.
+    Sets combine map-side, so a task receives each value at most once per map task. The cell is a text of an output table:
+    operators that only compare sets use size and hashes instead.
     """
-    keys = list(keys)
-    distinct = df.select(*keys, value).filter(F.col(value).isNotNull()).distinct()
-    sizes = distinct.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.min(value).alias("_least"), F.bit_xor(F.xxhash64(value)).alias("_hash")
-    )
-    small = distinct.join(sizes.filter(F.col("_n") > limit).select(*keys), keys, "left_anti")
-    listed = small.groupBy(*keys).agg(F.concat_ws(sep, F.array_sort(F.collect_list(value))).alias(out))
-    long = sizes.filter(F.col("_n") > limit).select(
-        *keys, F.format_string("%s (+%d, %016x)", F.col("_least").cast("string"), F.col("_n") - 1, F.col("_hash")).alias(out)
-    )
-    return listed.union(long)
+    listed = F.concat_ws(sep, F.array_sort(F.collect_set(value)).cast("array<string>"))
+    return df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(listed.alias(out))
 
 
 def node_keys(members: DataFrame, member: str, node: str, by: Sequence[str] = (), sep: str = " ") -> DataFrame:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netquant.functions.sequences import cleave, occurrences, ptm_code, residue_positions, semi_forms
+from netquant.functions.sequences import cleave, ptm_code, residue_positions, semi_forms
 from netquant.operators.nodes import joined_list
 
 # Width of the position buckets of the interval join; any width gives the same rows.
 BUCKET = 64
+# Letters by which peptides are looked up in a sequence; any number gives the same rows.
+ANCHOR = 4
 
 
 def digest(
@@ -47,20 +50,43 @@ def missing_peptides(psm: DataFrame, index: DataFrame) -> DataFrame:
     return psm.select("peptide_key").distinct().join(index, "peptide_key", "left_anti")
 
 
+def places(sequence: str, peptides: Sequence[str]) -> Iterator[tuple[str, int]]:
+    """(peptide, 1-based start) of every occurrence, overlapping ones included, in one pass over the sequence.
+
+    Peptides are looked up by their first ``ANCHOR`` letters, shorter ones whole.
+    """
+    anchored: dict[str, list[str]] = {}
+    for peptide in filter(None, peptides):
+        anchored.setdefault(peptide[:ANCHOR], []).append(peptide)
+    widths = sorted({len(anchor) for anchor in anchored})
+    for start in range(len(sequence)):
+        for width in widths:
+            if start + width <= len(sequence):
+                for peptide in anchored.get(sequence[start : start + width], ()):
+                    if sequence.startswith(peptide, start):
+                        yield peptide, start + 1
+
+
 def protein_occurrences(edges: DataFrame, proteins: DataFrame) -> DataFrame:
     """``(peptide_key, protein_acc, start, end)`` of every occurrence of an edge's peptide.
 
     The peptides of a protein are laid beside its sequence once (they fit in it), so the sequence
-    is not copied to each edge.
+    is not copied to each edge. Letters are compared as they are: a stop sign is a letter.
     """
-    listed = edges.groupBy("protein_acc").agg(F.collect_set("peptide_key").alias("_peptides"))
-    rows = listed.join(proteins.select("protein_acc", "sequence"), "protein_acc")
-    placed = F.transform(
-        "_peptides", lambda p: F.struct(p.alias("peptide_key"), occurrences(F.col("sequence"), p).alias("starts"))
-    )
-    found = rows.select("protein_acc", F.inline(placed)).select(
-        "protein_acc", "peptide_key", F.explode("starts").alias("start")
-    )
+    listed = edges.groupBy("protein_acc").agg(F.collect_set("peptide_key").alias("peptides"))
+    rows = proteins.select("protein_acc", "sequence").join(listed, "protein_acc")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            accs, sequences, lists = (batch.column(c) for c in ("protein_acc", "sequence", "peptides"))
+            for at in range(batch.num_rows):
+                found = list(places(sequences[at].as_py() or "", lists[at].as_py()))
+                if found:
+                    peptides, starts = zip(*found)
+                    columns = [pa.array(peptides), pa.array([accs[at].as_py()] * len(found)), pa.array(starts, pa.int32())]
+                    yield pa.RecordBatch.from_arrays(columns, ["peptide_key", "protein_acc", "start"])
+
+    found = rows.mapInArrow(run, "peptide_key string, protein_acc string, start int")
     return found.withColumn("end", F.col("start") + F.length("peptide_key") - 1)
 
 
@@ -211,6 +237,8 @@ def protein_ptm_states(
     peptides join a state when they cover none of its positions, modified ones when they agree with
     it, and a modified peptide with a state leaves the bare protein (``state_key`` null).
     """
+    if max_ptms > 30:
+        raise ValueError("a state is a mask of 32 bits: at most 30 modified positions")
     marks = positions.select("protein_acc", "peptide_key", "protein_position", "aa", "delta_mass").distinct()
     places = marks.select("protein_acc", "protein_position", "aa", "delta_mass").distinct()
     few = places.groupBy("protein_acc").agg(F.count("*").alias("_n")).filter(F.col("_n") <= max_ptms).drop("_n")

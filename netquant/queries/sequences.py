@@ -19,8 +19,6 @@ from netquant.queries.common import Registry, with_views
 
 QUERIES = Registry()
 
-# Peptide lengths kept by the digestion (fixed values).
-SHORTEST, LONGEST = 12, 40
 PHOSPHO, OXIDATION = 79.966331, 15.994915
 
 _memo: dict = {}
@@ -42,8 +40,7 @@ def _kept(name, spark, sf_dir, build):
 
 
 def edges(spark, sf_dir):
-    return _kept("digest", spark, sf_dir, lambda: positions.digest(
-        proteins(spark, sf_dir), min_length=SHORTEST, max_length=LONGEST))
+    return _kept("digest", spark, sf_dir, lambda: positions.digest(proteins(spark, sf_dir)))
 
 
 def spans(spark, sf_dir):
@@ -69,7 +66,7 @@ def ptms(spark, sf_dir):
 SEQ_VIEWS = {
     "prot": "SELECT 'D' || doc_id AS protein_acc, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS sequence FROM documents",
     "pieces": "SELECT protein_acc, unnest(regexp_extract_all(sequence, '[^KR]*[KR]|[^KR]+')) AS peptide_key FROM prot",
-    "pe": f"SELECT DISTINCT peptide_key, protein_acc FROM pieces WHERE length(peptide_key) BETWEEN {SHORTEST} AND {LONGEST}",
+    "pe": "SELECT DISTINCT peptide_key, protein_acc FROM pieces",
     "pl": """SELECT DISTINCT peptide_key, length(peptide_key) AS n, len(list_filter(range(1, length(peptide_key)),
       lambda k: left(peptide_key, CAST(k AS INTEGER)) = right(peptide_key, CAST(k AS INTEGER)))) > 0 AS laps FROM pe""",
     "spans": """SELECT peptide_key, protein_acc, unnest(CASE WHEN laps THEN list_filter(range(1, length(sequence) - n + 2), lambda i: substring(sequence, i, n) = peptide_key)
@@ -93,16 +90,15 @@ def seq_sql(body: str, extra: dict[str, str] | None = None) -> str:
 
 @QUERIES.add("dig1_digest", seq_sql("SELECT * FROM pe"))
 def dig1_digest(spark, sf_dir):
-    return positions.digest(proteins(spark, sf_dir), min_length=SHORTEST, max_length=LONGEST)
+    return positions.digest(proteins(spark, sf_dir))
 
 
-@QUERIES.add("dig1_missed_cleavage", seq_sql(f"""SELECT peptide_key, count(*) AS n_proteins FROM (SELECT DISTINCT protein_acc, peptide_key FROM (
+@QUERIES.add("dig1_missed_cleavage", seq_sql("""SELECT peptide_key, count(*) AS n_proteins FROM (SELECT DISTINCT protein_acc, peptide_key FROM (
     SELECT protein_acc, p AS peptide_key FROM numbered UNION ALL
-    SELECT a.protein_acc, a.p || b.p FROM numbered a JOIN numbered b ON a.protein_acc = b.protein_acc AND b.i = a.i + 1)
-    WHERE length(peptide_key) BETWEEN {SHORTEST} AND {LONGEST} AND peptide_key LIKE 'S%') GROUP BY ALL""",
+    SELECT a.protein_acc, a.p || b.p FROM numbered a JOIN numbered b ON a.protein_acc = b.protein_acc AND b.i = a.i + 1)) GROUP BY ALL""",
     {"numbered": "SELECT protein_acc, unnest(regexp_extract_all(sequence, '[^KR]*[KR]|[^KR]+')) AS p, unnest(range(1, len(regexp_extract_all(sequence, '[^KR]*[KR]|[^KR]+')) + 1)) AS i FROM prot"}))
 def dig1_missed_cleavage(spark, sf_dir):
-    found = positions.digest(proteins(spark, sf_dir), missed=1, min_length=SHORTEST, max_length=LONGEST, pattern="^S")
+    found = positions.digest(proteins(spark, sf_dir), missed=1)
     return found.groupBy("peptide_key").agg(F.count("*").alias("n_proteins"))
 
 

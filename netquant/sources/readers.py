@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,31 +54,22 @@ def parse_experiments(text: str) -> dict[str, list[str]]:
 
 
 def read_experiments(spark: SparkSession, files: Mapping[str, Mapping[str, str]], sep: str = "\t") -> DataFrame:
-    """Rows of all replicates with experiment and replicate, in one scan over all files.
+    """Rows of all replicates with experiment and replicate.
 
-    ``files`` is experiment -> replicate -> path. A file is known by its name, so names must differ.
+    ``files`` is experiment -> replicate -> path: a file, a folder or a glob pattern. Each replicate is a scan that carries its own
+    names, so equal file names in different folders stay apart; a path without files is Spark's error.
     """
-    names: dict[str, tuple[str, str]] = {}
-    replicates: set[str] = set()
-    for experiment, paths in files.items():
-        for replicate, path in paths.items():
-            name = path.rstrip("/").rsplit("/", 1)[-1]
-            if replicate in replicates or name in names:
-                raise ValueError(f"replicate {replicate!r} or file {name!r} is named twice")
-            replicates.add(replicate)
-            names[name] = (experiment, replicate)
-    rows = spark.read.schema(PSM_SCHEMA).csv(
-        [path for paths in files.values() for path in paths.values()], sep=sep,
-        nanValue="NaN", positiveInf="Infinity", negativeInf="-Infinity",
-    )
-    lookup = lambda i: F.create_map(*[F.lit(x) for name, both in names.items() for x in (name, both[i])])
-    name = F.url_decode(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
-    return rows.select("*", name.alias("_name")).select(
-        *[c for c in rows.columns],
-        F.try_element_at(lookup(0), F.col("_name")).alias("experiment"),
-        F.try_element_at(lookup(1), F.col("_name")).alias("replicate"),
-        log2_of_ratio("ratio").alias("log2_ratio"),
-    )
+    named = [(experiment, replicate, path) for experiment, paths in files.items() for replicate, path in paths.items()]
+    repeated = [replicate for replicate, n in Counter(replicate for _, replicate, _ in named).items() if n > 1]
+    if repeated:
+        raise ValueError(f"replicates named twice: {repeated}")
+
+    def scan(experiment: str, replicate: str, path: str) -> DataFrame:
+        rows = spark.read.schema(PSM_SCHEMA).csv(path, sep=sep, nanValue="NaN", positiveInf="Infinity", negativeInf="-Infinity")
+        names = {"experiment": F.lit(experiment), "replicate": F.lit(replicate), "log2_ratio": log2_of_ratio("ratio")}
+        return rows.withColumns(names)
+
+    return reduce(DataFrame.unionByName, [scan(*name) for name in named])
 
 
 def merge_identifications(

@@ -89,11 +89,18 @@ def test_runs_stay_apart(spark):
     assert got == {("r1", "A"): "A", ("r1", "B"): "A", ("r2", "A"): "A", ("r2", "B"): "B"}
 
 
-def test_long_lists_are_named_not_gathered(spark):
-    rows = [("n1", f"m{i:02d}") for i in range(12)] + [("n2", "a"), ("n2", "b")]
-    df = spark.createDataFrame(rows, "node string, member string")
-    got = {r.node: r.key for r in nodes.joined_list(df, ["node"], "member", "key", limit=10).collect()}
-    assert got["n2"] == "a b" and got["n1"].startswith("m00 (+11, ")
+def test_lists_are_whole_sorted_and_distinct(spark):
+    long = spark.range(3000).select(F.lit("n1").alias("node"), F.format_string("m%04d", "id").alias("member"))
+    short = spark.createDataFrame([("n2", "b"), ("n2", "a"), ("n2", "b"), ("n3", None)], "node string, member string")
+    got = {r.node: r.key for r in nodes.joined_list(long.union(short), ["node"], "member", "key").collect()}
+    assert got == {"n1": " ".join(f"m{i:04d}" for i in range(3000)), "n2": "a b"}
+
+
+def test_filters_that_do_not_settle_are_an_error(spark):
+    psm = spark.createDataFrame([("s1", "p1", "r1", 1.0, 1.0)], "psm_id string, peptide_key string, replicate string, ions double, log2_ratio double")
+    edges = spark.createDataFrame([("p1", "A")], "peptide_key string, protein_acc string")
+    with pytest.raises(RuntimeError):
+        filters.filter_to_fixpoint(psm, edges, min_psms=2, max_rounds=1)
 
 
 def test_discarded_and_kept_make_the_input(spark):

@@ -167,3 +167,38 @@ def test_alignment_misses_no_pair(spark, hot):
     df = spark.createDataFrame([(w,) for w in words], "peptide_key string")
     got = {(r.peptide_1, r.peptide_2) for r in align.align_peptides(df, hot=hot).collect()}
     assert got == want and len(want) > 20
+
+
+def test_signs_in_peptides_are_letters(spark):
+    df = spark.createDataFrame([("AB*CK*CK", "*CK"), ("A.AXA", "A.A"), ("****", "**"), ("AXA", "A.A")], "s string, p string")
+    got = [r.o for r in df.select(sequences.occurrences("s", "p").alias("o")).collect()]
+    assert got == [[3, 6], [1], [1, 2, 3], []]
+
+
+def test_states_of_more_masses_than_symbols_stay_apart(spark):
+    masses = [float(m) for m in range(10, 19)]
+    rows = [(f"P{k}", "A" if k in (0, 8) else f"B{k}", 3 * k + 1, 3 * k + 3, m) for k, m in enumerate(masses)]
+    spans = spark.createDataFrame([r[:4] for r in rows], "peptide_key string, protein_acc string, start int, end int")
+    placed = spark.createDataFrame(
+        [(r[0], r[1], 1, "S", r[4], r[2]) for r in rows],
+        "peptide_key string, protein_acc string, position int, aa string, delta_mass double, protein_position int",
+    )
+    states, edges = positions.protein_ptm_states(spans, placed, placed.select("peptide_key"))
+    keys = [r.state_key for r in states.filter("protein_acc = 'A'").collect()]
+    assert sorted(keys) == ["A_S1(*)", "A_S1(*),S25(9)", "A_S25(9)"]
+    found = {(r.state_key, r.peptide_key) for r in edges.filter("protein_acc = 'A'").collect()}
+    assert found == {("A_S1(*)", "P0"), ("A_S1(*),S25(9)", "P0"), ("A_S1(*),S25(9)", "P8"), ("A_S25(9)", "P8")}
+    with pytest.raises(ValueError):
+        positions.protein_ptm_states(spans, placed, placed.select("peptide_key"), max_ptms=31)
+
+
+def test_protein_occurrences_equal_a_search_at_every_place(spark):
+    rng = random.Random(5)
+    texts = {f"P{k}": "".join(rng.choice("AK*") for _ in range(200)) for k in range(4)} | {"E": ""}
+    edges = {(t[i : i + n], acc) for acc, t in texts.items() for i in range(0, 190, 7) for n in (1, 2, 3, 4, 5, 9) if t}
+    want = {(p, acc, i + 1, i + len(p)) for p, acc in edges for i in range(200) if texts[acc].startswith(p, i)}
+    found = positions.protein_occurrences(
+        spark.createDataFrame(sorted(edges), "peptide_key string, protein_acc string"),
+        spark.createDataFrame([*texts.items(), ("N", None)], "protein_acc string, sequence string"),
+    ).collect()
+    assert len(found) == len(want) and {(r.peptide_key, r.protein_acc, r.start, r.end) for r in found} == want

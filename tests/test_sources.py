@@ -37,6 +37,15 @@ def test_experiments(spark, tmp_path):
         readers.read_experiments(spark, {"e1": {"r1": one}, "e2": {"r1": two}})
 
 
+def test_experiments_from_folders_with_equal_file_names(spark, tmp_path):
+    for at, row in enumerate(["s1\tPEPK\t2.0\t10\tA\n", "s2\tPEPK\t4.0\t10\tA\n", "s3\tPEPK\t8.0\t10\tA\n"]):
+        (tmp_path / f"r{at}").mkdir()
+        put(tmp_path / f"r{at}" / "psm.tsv", row)
+    files = {"e1": {"r0": str(tmp_path / "r0"), "r1": str(tmp_path / "r1" / "psm.tsv")}, "e2": {"r2": str(tmp_path / "r2" / "*.tsv")}}
+    got = readers.read_experiments(spark, files).orderBy("psm_id").collect()
+    assert [(r.psm_id, r.experiment, r.replicate, r.log2_ratio) for r in got] == [("s1", "e1", "r0", 1.0), ("s2", "e1", "r1", 2.0), ("s3", "e2", "r2", 3.0)]
+
+
 def test_merge_keeps_quantified_rows(spark):
     quant = spark.createDataFrame([("s1", "P", 1.0)], "psm_id string, peptide_key string, log2_ratio double")
     ident = spark.createDataFrame([("s1", "P"), ("s2", "Q")], "psm_id string, peptide_key string")
