@@ -240,36 +240,85 @@ def st8_significant_sites(spark, sf_dir):
     return groups.significant_sites(groups.group_compare(aligned(spark, sf_dir), membership))
 
 
-PERM = """SELECT comparison_id, perm_id, sample, CASE WHEN row_number() OVER (PARTITION BY comparison_id, perm_id
-    ORDER BY md5('7|' || perm_id || '|' || sample), sample) <= n1 THEN 1 ELSE 2 END AS side
-    FROM (SELECT *, count(*) FILTER (side = 1) OVER (PARTITION BY comparison_id) AS n1, unnest(range(1, 21)) AS perm_id FROM real_groups)"""
-PERM_Q = {**BASE, "groups": GROUPS_SQL, "real_groups": G12, "membership": PERM, **sql_group_tests("comparison_id, perm_id")}
+def sql_permuted(membership: str, rounds: int, seed: int) -> dict[str, str]:
+    """Views ``drawn`` (every round's sides), ``splits`` (its first side) and ``membership`` (each split once, by its first round)."""
+    return {
+        "real_groups": membership,
+        "drawn": f"""SELECT comparison_id, perm_id, sample, CASE WHEN row_number() OVER (PARTITION BY comparison_id, perm_id
+          ORDER BY md5('{seed}|' || perm_id || '|' || sample), sample) <= n1 THEN 1 ELSE 2 END AS side
+          FROM (SELECT *, count(*) FILTER (side = 1) OVER (PARTITION BY comparison_id) AS n1, unnest(range(1, {rounds + 1})) AS perm_id FROM real_groups)""",
+        "splits": """SELECT comparison_id, perm_id, min(perm_id) OVER (PARTITION BY comparison_id, split) AS first FROM (SELECT comparison_id, perm_id,
+          string_agg(sample, ' ' ORDER BY sample) FILTER (side = 1) AS split FROM drawn GROUP BY ALL)""",
+        "membership": "SELECT * FROM drawn WHERE (comparison_id, perm_id) IN (SELECT (comparison_id, first) FROM splits)",
+    }
+
 
+ROUND_COUNTS = """(SELECT comparison_id, CAST(s.perm_id AS INTEGER) AS perm_id, n_significant FROM splits s JOIN
+    (SELECT comparison_id, perm_id AS first, count(*) FILTER (q < 0.05) AS n_significant FROM adjusted GROUP BY ALL) USING (comparison_id, first))"""
+PERM_Q = {**BASE, "groups": GROUPS_SQL, **sql_permuted(G12, 999, 7), **sql_group_tests("comparison_id, perm_id")}
 
-@QUERIES.add("st9_permuted_groups", with_views("psm", """SELECT comparison_id, CAST(perm_id AS INTEGER) AS perm_id,
-    count(*) FILTER (q < 0.05) AS n_significant FROM adjusted GROUP BY ALL""", PERM_Q))
+
+@QUERIES.add("st9_permuted_groups", with_views("psm", f"SELECT * FROM {ROUND_COUNTS}", PERM_Q))
 def st9_permuted_groups(spark, sf_dir):
     membership = groups.two_group_membership(group_rows(spark), "g1", "g2", "g1_g2")
-    return groups.permutation_counts(aligned(spark, sf_dir), membership, rounds=20, seed=7)
+    return groups.permutation_counts(aligned(spark, sf_dir), membership, seed=7)
 
 
-@QUERIES.add("st9_permutation_mean", with_views("psm", f"""SELECT comparison_id, count(*) AS n_rounds, {snum('avg(n)')} AS mean_random_significant
-    FROM (SELECT comparison_id, perm_id, count(*) FILTER (q < 0.05) AS n FROM adjusted GROUP BY ALL) GROUP BY comparison_id""", PERM_Q))
+@QUERIES.add("st9_permutation_mean", with_views("psm", f"""SELECT comparison_id, count(*) AS n_rounds, {snum('avg(n_significant)')} AS mean_random_significant
+    FROM {ROUND_COUNTS} GROUP BY comparison_id""", PERM_Q))
 def st9_permutation_mean(spark, sf_dir):
     return rounded(groups.permutation_summary(st9_permuted_groups(spark, sf_dir)), "mean_random_significant")
 
 
-REST_Q = {**BASE, "groups": GROUPS_SQL, "membership": REST_SQL, **sql_group_tests("comparison_id")}
+def measurements(spark, sf_dir):
+    """Measurements at sites (parts) in samples (replicates)."""
+    return psm_table(spark, sf_dir).select(
+        F.col("peptide_key").alias("site_key"), F.col("replicate").alias("sample"), "log2_ratio"
+    )
+
+
+def sql_pooled_tests(keys: str) -> dict[str, str]:
+    def side(i: int) -> str:
+        x = f"(CASE WHEN side = {i} THEN log2_ratio END)"
+        return f"coalesce({sql_mean(x)}, {NAN}) AS m_{i}, {sql_n(x)} AS n_{i}, {sql_sd(x)} AS sd_{i}"
+
+    return {
+        "grouped": f"SELECT {keys}, peptide_key AS site_key, {side(1)}, {side(2)} FROM psm JOIN membership ON replicate = sample GROUP BY ALL",
+        "dist": f"""SELECT {keys}, avg(m) AS dm, stddev_samp(m) AS ds FROM (SELECT {keys}, m_1 AS m FROM grouped UNION ALL SELECT {keys}, m_2 FROM grouped)
+          WHERE isfinite(m) GROUP BY ALL""",
+        "two": f"SELECT * FROM grouped LEFT JOIN dist USING ({keys})",
+        **sql_tests("two"),
+        **sql_adjust(keys),
+    }
+
+
+REST_Q = {"groups": GROUPS_SQL, "membership": REST_SQL, **sql_pooled_tests("comparison_id")}
+REST_COLUMNS = ["m_1", "sd_1", "m_2", "sd_2", "t", "df", "p", "q"]
+
+
+@QUERIES.add("st10_pooled_tests", with_views("psm", f"""SELECT comparison_id, site_key, n_1, n_2, use_for_correction,
+    {', '.join(snum(c) + ' AS ' + c for c in REST_COLUMNS)} FROM adjusted""", REST_Q))
+def st10_pooled_tests(spark, sf_dir):
+    tests = groups.pooled_tests(measurements(spark, sf_dir), groups.group_against_rest(group_rows(spark), REPLICATES))
+    return rounded(correction.p_adjust(tests, ["comparison_id"], use="use_for_correction"), *REST_COLUMNS)
 
 
 @QUERIES.add("st10_group_against_rest", with_views("psm", f"""SELECT comparison_id, site_key, {snum('m_1')} AS m_1, {snum('m_2')} AS m_2, n_1, n_2,
     {snum('q')} AS q, n_significant FROM adjusted JOIN (SELECT comparison_id, count(*) FILTER (q < 0.05) AS n_significant FROM adjusted GROUP BY ALL)
     USING (comparison_id) WHERE q < 0.05""", REST_Q))
 def st10_group_against_rest(spark, sf_dir):
-    kept = groups.mutant_vs_rest(aligned(spark, sf_dir), group_rows(spark), samples=REPLICATES)
+    kept = groups.mutant_vs_rest(measurements(spark, sf_dir), group_rows(spark), samples=REPLICATES)
     return rounded(kept.select("comparison_id", "site_key", "m_1", "m_2", "n_1", "n_2", "q", "n_significant"), "m_1", "m_2", "q")
 
 
+RANDOM_Q = {"groups": GROUPS_SQL, **sql_permuted(REST_SQL, 100, 7), **sql_pooled_tests("comparison_id, perm_id")}
+
+
+@QUERIES.add("st10_random_against_rest", with_views("psm", f"SELECT * FROM {ROUND_COUNTS}", RANDOM_Q))
+def st10_random_against_rest(spark, sf_dir):
+    return groups.random_vs_rest(measurements(spark, sf_dir), group_rows(spark), seed=7, samples=REPLICATES)
+
+
 @QUERIES.add("set4_complement", with_views("psm", "SELECT comparison_id, sample, side, n_sites FROM membership JOIN (SELECT sample, count(*) AS n_sites FROM site GROUP BY ALL) USING (sample)",
     {"site": SITE_VIEWS["site"], "groups": GROUPS_SQL, "membership": REST_SQL}))
 def set4_complement(spark, sf_dir):

@@ -124,6 +124,42 @@ def test_permutations_keep_group_sizes_and_seed(spark):
         assert sum(r.side == 1 for r in one if r.perm_id == perm) == 3
 
 
+def test_pooled_group_of_one_sample_counts_measurements(spark):
+    rows = [("x", "a", v) for v in (1.0, 1.5, 2.0)] + [("x", s, v) for s in "bc" for v in (5.0, 5.5)]
+    rows += [("y", "a", 3.0), ("y", "b", 3.0), ("y", "b", 3.0), ("z", "c", INF), ("z", "c", INF), ("z", "a", 0.1), ("z", "a", 0.2)]
+    psm = spark.createDataFrame(rows, "site_key string, sample string, log2_ratio double")
+    members = groups.group_against_rest(spark.createDataFrame([("g", "a")], "comparison_id string, sample string"), "abc")
+    got = {r.site_key: r for r in groups.pooled_tests(psm, members).collect()}
+    x = got["x"]
+    assert (x.n_1, x.n_2, x.m_1, x.m_2) == (3, 4, 1.5, 5.25) and x.use_for_correction
+    assert x.sd_1 == pytest.approx(0.5) and x.sd_2 == pytest.approx(np.std([5, 5.5, 5, 5.5], ddof=1)) and x.p < 0.001
+    assert got["y"].sd_2 == 0.0 and not got["y"].use_for_correction and not got["z"].use_for_correction
+
+
+@pytest.mark.parametrize("method", ["BY", "BH", "HOCHBERG", "HOLM"])
+def test_counts_of_low_levels_equal_the_full_correction(spark, many_slices, method):
+    rng = random.Random(3)
+    rows = [(f"g{i % 4}", round(rng.random() ** (1 + 3 * (i % 4)), 4), rng.random() < 0.9) for i in range(800)]
+    rows += [("none", NAN, True), ("none", None, False), ("rule", 0.0, False)]
+    tests = spark.createDataFrame(rows, "g string, p double, use_for_correction boolean")
+    full = groups.significant_sites(correction.p_adjust(tests, ["g"], method, use="use_for_correction"), ["g"])
+    assert sorted(groups.significant_counts(tests, ["g"], 0.05, method).collect()) == sorted(full.collect())
+
+
+def test_permutation_rounds_of_one_split_share_their_count(spark):
+    rng = random.Random(5)
+    rows = [(f"s{i}", s, rng.gauss(2.0 * (s < "c") * (i < 20), 0.5)) for i in range(40) for s in "abcd" for _ in range(3)]
+    psm = spark.createDataFrame(rows, "site_key string, sample string, log2_ratio double")
+    mine = spark.createDataFrame([("g", "a"), ("g", "b")], "comparison_id string, sample string")
+    counts = {r.perm_id: r.n_significant for r in groups.random_vs_rest(psm, mine, rounds=30, samples="abcd").collect()}
+    drawn = groups.permuted_membership(groups.group_against_rest(mine, "abcd"), 30)
+    for perm in (1, 17, 30):
+        part = drawn.filter(F.col("perm_id") == perm).drop("perm_id")
+        tests = correction.p_adjust(groups.pooled_tests(psm, part), ["comparison_id"], use="use_for_correction")
+        assert groups.significant_sites(tests).first().n_significant == counts[perm]
+    assert len(counts) == 30 and max(counts.values()) > 0
+
+
 def test_common_variance_is_the_root(spark):
     rng = random.Random(8)
     rows = [("s", f"g{g}", rng.gauss(0, 1.5), rng.uniform(0.5, 50)) for g in range(40) for _ in range(rng.randint(1, 5))]
