@@ -39,8 +39,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their place in sequences of 4096 tokens."""
     cuts = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
-    narrow = cuts.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return packing.pack(cut(narrow, "pieces"))
+    return packing.pack_full(cuts)
 
 
 STAGES = [

@@ -42,8 +42,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @QUERIES.add("op7_nnls_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     cuts = packing.pieces(table(spark, sf_dir, "documents"), WORD_BPE)
-    narrow = cuts.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return packing.pack(cut(narrow, "pieces"))
+    return packing.pack_full(cuts)
 
 
 @QUERIES.add("op6_importance_resampling")

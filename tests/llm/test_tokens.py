@@ -148,6 +148,29 @@ def test_packing_is_tight(spark, kind):
     assert waste < by_class + {"one length": 0.03, "short": 0.02, "mixed": 0.03, "large": 0.147}[kind]  # large: 600 windows at least
 
 
+@pytest.mark.parametrize("lengths", [[1] * 9000, [9] * 2000, [2100] * 400, [9] * 1000 + [3000] * 1000 + [*range(1, 4097, 4)]])
+def test_full_packing_leaves_less_than_a_window(spark, lengths):
+    ids = [np.arange(n, dtype="<u4") + 7 * i for i, n in enumerate(lengths)]
+    rows = [(i % 50 or None, 0, len(x), bytearray(x.tobytes()), len(x)) for i, x in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, start long, length long, ids binary, doc_tokens long")
+    got = packing.pack_full(df).collect()
+    check_packing(got, 4096)
+    assert len({r["sequence_id"] for r in got}) == -(-sum(lengths) // 4096)
+    assert sum(r["length"] for r in got) == sum(lengths) and len(got) <= len(lengths) + sum(lengths) // 4096 + 1
+    # Checksums of all possible parts of repeated documents are too many; each row's is that of a part of one of its documents.
+    by_doc = {}
+    for doc, _, _, x, _ in rows:
+        by_doc.setdefault(doc, []).append(bytes(x))
+    for r in got[::37]:
+        a, b = 4 * r["start"], 4 * (r["start"] + r["length"])
+        assert any(zlib.crc32(x[a:b]) == r["ids_crc32"] for x in by_doc[r["doc_id"]] if len(x) == 4 * r["doc_tokens"])
+
+
+def test_whole_pieces_are_packed_by_their_exact_length(spark):
+    df = cut(spark.createDataFrame([(i, 0, 9) for i in range(5000)], "doc_id long, start long, length long"))
+    assert check_packing(packing.pack(df).collect(), 4096) < 0.01
+
+
 def test_packing_without_pieces_and_with_wrong_ones(spark, no_docs, odd_docs):
     assert packing.pack(cut(packing.pieces(no_docs, PATHS[1]))).count() == 0
     assert check_packing(packing.pack(cut(packing.pieces(odd_docs, PATHS[1]))).collect(), 4096) < 2
