@@ -21,6 +21,8 @@ from netquant.llm.features import chunks, letter_ngrams
 
 BATCH_BYTES = 8_000_000
 UNKNOWN = "und"
+#: Fits end within this much of the greatest log-likelihood.
+TOLERANCE = 1e-3
 
 
 class Model(NamedTuple):
@@ -73,14 +75,15 @@ SCHEMA = [
 
 
 def identify(
-    docs: DataFrame, model: Model, text_col: str = "text", penalty: float = 6.0, largest: int = 3, rounds: int = 12
+    docs: DataFrame, model: Model, text_col: str = "text", penalty: float = 6.0, largest: int | None = None, rounds: int = 12
 ) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score``, ``lang_set``, ``proportions`` and ``fit``.
 
     ``lang_set`` and ``proportions``: the chosen languages, strongest first; ``lang_pred`` and ``score`` are its first.
     ``fit``: mean log-likelihood per trigram above that of evenly spread trigrams; below 0 no language explains the text.
     ``penalty``: log-likelihood that each language of the set costs, times the log of the number of trigrams. Null text, text
-    without letters, or a model without languages: ``und``, score 0, an empty set. Columns of ``docs`` with these
+    without letters, or a model without languages: ``und``, score 0, an empty set. ``largest``: most languages of a set, all if None;
+    ``rounds``: steps between two tests of convergence. Columns of ``docs`` with these
     names are replaced; all others, repeated rows and nulls are kept.
     """
     added = [f.name for f in SCHEMA]
@@ -100,8 +103,39 @@ def identify(
     return docs.select(*(F.col(f"`{f.name}`") for f in kept)).mapInArrow(run, T.StructType([*kept, *SCHEMA]))
 
 
-def infer(model: Model, texts: list[str], penalty: float, largest: int, rounds: int):
-    """Columns of :data:`SCHEMA` for a list of texts."""
+def fit(likely: np.ndarray, count: np.ndarray, runs: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions of the languages of ``likely`` by expectation maximisation from ``share``, and the log-likelihood of each text.
+
+    ``likely``: a row per language, a column per trigram; ``runs``: trigrams of each text. Steps go on until no proportions can have a
+    log-likelihood that is higher by more than ``TOLERANCE``: as it is concave, the largest growth of a proportion bounds the rest.
+    """
+    out, value, at = share.copy(), np.zeros(share.shape[1]), np.arange(share.shape[1])
+    steps = rounds if len(share) > 1 else 1  # a single language keeps all of its text
+    while len(at):
+        first = np.cumsum(runs) - runs
+        n = np.add.reduceat(count, first)
+        for _ in range(steps):
+            before = share
+            part = likely * np.repeat(before, runs, axis=1)
+            mix = np.maximum(part.sum(0), 1e-300)
+            part *= count / mix
+            share = np.add.reduceat(part, first, axis=1) / n
+        del part
+        growth = np.divide(share, before, out=np.zeros_like(share), where=before > 0).max(0)
+        going = n * (growth - 1) > TOLERANCE
+        done = ~going
+        out[:, at[done]] = before[:, done]
+        value[at[done]] = np.add.reduceat(count * np.log(mix), first)[done]
+        row = np.repeat(going, runs)
+        likely, count, runs, share, at = likely[:, row], count[row], runs[going], share[:, going], at[going]
+    return out, value
+
+
+def infer(model: Model, texts: list[str], penalty: float, largest: int | None, rounds: int):
+    """Columns of :data:`SCHEMA` for a list of texts.
+
+    Sets grow as long as a larger one can still win: none has more than the likelihood of all languages together, less its penalty.
+    """
     languages, (buckets, k) = model.languages, model.logs.shape
     bucket, doc = letter_ngrams(texts, buckets)
     total = np.bincount(doc, minlength=len(texts)).astype(float)
@@ -119,30 +153,31 @@ def infer(model: Model, texts: list[str], penalty: float, largest: int, rounds:
     likely = np.exp(np.ascontiguousarray((logs - shift[:, None]).T, np.float64))
     base = np.add.reduceat(count * shift, first)
 
-    def fit(likely: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Proportions of the languages of ``likely`` after expectation maximisation from ``share``, and the log-likelihood."""
-        for _ in range(rounds if len(share) > 1 else 0):  # a single language keeps all of its text
-            part = likely * np.repeat(share, runs, axis=1)
-            part *= count / part.sum(0)
-            share = np.add.reduceat(part, first, axis=1) / n
-        return share, base + np.add.reduceat(count * np.log((likely * np.repeat(share, runs, axis=1)).sum(0) + 1e-300), first)
-
-    share, _ = fit(likely, np.full((k, len(here)), 1.0 / k))
-    order = np.argsort(-share, axis=0, kind="stable")
-    best, best_share = np.full(len(here), -np.inf), share
+    whole_share, whole_value = fit(likely, count, runs, np.full((k, len(here)), 1.0 / k), rounds)
+    order = np.argsort(-whole_share, axis=0, kind="stable")
+    cost, most = penalty * np.log(n + 1), min(largest or k, k)
+    best, best_share = np.full(len(here), -np.inf), np.zeros((k, len(here)))
     chosen = np.ones(len(here), np.int64)
     fitted = np.zeros(len(here))
-    for size in range(1, min(largest, k) + 1):
-        strongest = order[:size]
-        part = np.take_along_axis(likely, np.repeat(strongest, runs, axis=1), axis=0)
-        among, value = fit(part, np.full((size, len(here)), 1.0 / size))
-        now = np.zeros((k, len(here)))
+    open_ = np.ones(len(here), bool)  # texts whose set may still grow
+    for size in range(1, most + 1):
+        at, row = np.flatnonzero(open_), np.repeat(open_, runs)
+        strongest = order[:size, at]
+        if size == k:
+            among, value = np.take_along_axis(whole_share[:, at], strongest, axis=0), whole_value[at]
+        else:
+            part = np.take_along_axis(likely[:, row], np.repeat(strongest, runs[at], axis=1), axis=0)
+            among, value = fit(part, count[row], runs[at], np.full((size, len(at)), 1.0 / size), rounds)
+        now = np.zeros((k, len(at)))
         np.put_along_axis(now, strongest, among, axis=0)
-        worth = value - penalty * size * np.log(n + 1)
-        better = worth > best
-        best = np.where(better, worth, best)
-        best_share = np.where(better, now, best_share)
-        chosen, fitted = np.where(better, size, chosen), np.where(better, value, fitted)
+        worth = value - size * cost[at]
+        better = worth > best[at]
+        won = at[better]
+        best[won], best_share[:, won], chosen[won], fitted[won] = worth[better], now[:, better], size, value[better]
+        open_ = whole_value + TOLERANCE - np.minimum((size + 1) * cost, most * cost) > best
+        if not open_.any():
+            break
+    fitted += base
     best_share = best_share.T
     ranks = np.argsort(-best_share, axis=1, kind="stable")
     pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)

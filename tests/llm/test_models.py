@@ -60,6 +60,43 @@ def test_mixtures_are_inferred(spark, docs):
     assert langid.infer(empty, ["abc"], 6.0, 3, 12)[0] == ["und"]
 
 
+def test_mixtures_of_any_number_of_languages_converge(spark, docs):
+    model = langid.train(docs)
+    texts = {r["lang"]: r["text"] for r in docs.filter("n_chars > 4000").collect()}
+    assert len(texts) == len(model.languages) == 4
+    equal = " ".join(t[:3500] for t in texts.values())
+    pred, score, sets, shares, fit = langid.infer(model, [equal, "", texts["de"]], 6.0, None, 12)
+    assert sorted(sets[0]) == sorted(texts) and shares[0] == pytest.approx([0.25] * 4, abs=0.08) and sum(shares[0]) == pytest.approx(1)
+    assert score[0] == shares[0][0] and sets[2] == ["de"]
+    row = langid.identify(spark.createDataFrame([(equal,)], "text string"), model).first()
+    assert sorted(row["lang_set"]) == sorted(texts)
+    # Six made-up languages with a letter set of their own and one that they share.
+    rng = np.random.default_rng(5)
+    names = [f"l{i}" for i in range(6)]
+    letters = ["abcdxyz", "efghxyz", "ijklxyz", "mnopxyz", "qrstxyz", "uvwxyz"]
+    word = lambda i: "".join(rng.choice(list(letters[i]), 5))
+    written = {n: " ".join(word(i) for _ in range(3000)) for i, n in enumerate(names)}
+    made = langid.train(spark.createDataFrame(list(written.items()), "lang string, text string"))
+    six = " ".join(t[:1200] for t in written.values())
+    assert sorted(langid.infer(made, [six], 6.0, None, 12)[2][0]) == names
+
+
+def test_expectation_maximisation_reaches_the_greatest_likelihood():
+    rng = np.random.default_rng(8)
+    runs = np.array([40, 7, 1, 300])
+    base = rng.random(runs.sum())
+    likely = np.stack([base, base * rng.uniform(0.9, 1.1, len(base)), rng.random(len(base))])  # two that hardly differ
+    count = rng.integers(1, 9, len(base)).astype(float)
+    one, value = langid.fit(likely, count, runs, np.full((3, 4), 1 / 3), 12)
+    share = np.full((3, 4), 1 / 3)
+    first, n = np.cumsum(runs) - runs, np.add.reduceat(count, np.cumsum(runs) - runs)
+    for _ in range(50_000):
+        part = likely * np.repeat(share, runs, axis=1)
+        share = np.add.reduceat(part * (count / part.sum(0)), first, axis=1) / n
+    top = np.add.reduceat(count * np.log((likely * np.repeat(share, runs, axis=1)).sum(0)), first)
+    assert (top - value <= langid.TOLERANCE + 1e-9).all() and one.sum(0) == pytest.approx(1)
+
+
 def test_weights_against_counting(spark, docs, labels):
     ratios, share = quality.log_ratios(docs, labels, buckets=1 << 12)
     good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1}
