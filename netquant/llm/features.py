@@ -89,11 +89,11 @@ def lower_letters() -> np.ndarray:
 
 
 def letter_ngrams(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and text number of every trigram of letters; words are set apart by one blank."""
-    joined = "  ".join(texts) + "  "
+    """Bucket and text number of every trigram of letters; one blank stands before, between and after words, so that each letter is in a trigram."""
+    joined = " " + "   ".join(texts) + "  "
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     letters = lower_letters()[points]
-    doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.fromiter(map(len, texts), np.int64, len(texts)) + 2)
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.fromiter(map(len, texts), np.int64, len(texts)) + 3)
     kept = np.ones(len(letters), bool)
     kept[1:] = (letters[1:] != 32) | (letters[:-1] != 32) | (doc[1:] != doc[:-1])
     letters, doc = letters[kept].astype(np.uint64), doc[kept]

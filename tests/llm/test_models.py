@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from netquant.llm import langid, packing, quality, queries, toxicity
+from netquant.llm import features, langid, packing, quality, queries, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -97,6 +97,20 @@ def test_expectation_maximisation_reaches_the_greatest_likelihood():
     assert (top - value <= langid.TOLERANCE + 1e-9).all() and one.sum(0) == pytest.approx(1)
 
 
+def test_texts_of_one_and_two_letters_have_a_language(spark, docs):
+    model = langid.train(docs)
+    short = ["A.", "I", "漢", "ab", " é", "1a", "a", "(x)", "b c", "\n\nZ\n"]
+    blank = ["", " ", ".", "12", "😀"]
+    for texts in (short + blank, *([t] for t in short + blank)):
+        got = dict(zip(texts, zip(*langid.infer(model, texts, 6.0, None, 12))))
+        for text, (pred, score, languages, shares, fit) in got.items():
+            assert (pred == "und") == (text in blank) and (score > 0) == (text in short) and len(languages) == len(shares)
+    grams = lambda t: sorted(features.letter_ngrams([t], 1 << 15)[0].tolist())
+    assert grams("A.") == grams(" a ") == grams("-A") and len(grams("a")) == 1 and len(grams("abc d")) == 5
+    both = features.letter_ngrams(["a", "", "b c"], 1 << 15)
+    assert both[1].tolist() == [0, 2, 2, 2] and sorted(both[0].tolist()) == sorted(grams("a") + grams("b c"))
+
+
 def test_weights_against_counting(spark, docs, labels):
     ratios, share = quality.log_ratios(docs, labels, buckets=1 << 12)
     good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1}
