@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -83,3 +84,24 @@ def test_redaction_and_edges(spark, odd_docs, no_docs):
     model = pii.train(odd_docs)
     assert pii.redact(odd_docs, model).columns == odd_docs.columns and pii.redact(odd_docs, model).count() == odd_docs.count()
     assert pii.train(no_docs).trees == [] and pii.find(no_docs, none).count() == 0
+
+
+def test_long_secrets_and_hidden_addresses_are_proposed_and_redacted(spark):
+    token, local = "a1B2c3" * 100, "x.y1" * 25
+    texts = [f'token = "{token}" end', f"write to {local} [at] example [dot] org now", f'key: {"9f" * 20000}.']
+    spans = [("secret", 9, 609), ("hidden_email", 9, 9 + len(local) + len(" [at] example [dot] org")), ("secret", 5, 40005)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: [(s["span_kind"], s["span_start"], s["span_end"]) for s in r["candidates"]] for r in pii.candidates(docs).collect()}
+    assert all(span in rows[i] for i, span in enumerate(spans))
+    every = pii.Booster([], 9.0, 1.0, 0.0, dict.fromkeys(pii.KINDS, 0.5))
+    out = {r["doc_id"]: r["text"] for r in pii.redact(docs, every).collect()}
+    assert out == {0: 'token = "[SECRET]" end', 1: "write to [HIDDEN_EMAIL] now", 2: "key: [SECRET]."}
+
+
+def test_long_runs_stay_linear(spark):
+    texts = ["a" * 300_000, "a1" * 150_000, "a-" * 150_000 + "é", "a.b" * 100_000 + " [at] ", "- a1" * 60_000, "a at " * 50_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.monotonic()
+    assert pii.candidates(docs).select(F.size("candidates").alias("n")).count() == len(texts)
+    assert pii.candidates(docs).agg(F.sum(F.size("candidates"))).first()[0] >= 1
+    assert time.monotonic() - began < 60
