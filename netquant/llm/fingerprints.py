@@ -21,8 +21,9 @@ from netquant.llm.common import byte_batches, text_of
 from netquant.llm.features import mixed
 
 BATCH_BYTES = 4_000_000
-#: First level whose names count, about 3 ** level code points long, and how many hashes are kept.
-LEVEL, KEPT = 3, 64
+#: First level whose names count, for texts of all sizes, and how many hashes are kept. Names of level 1 are two or three code points long, which
+#: unrelated texts share.
+LEVEL, KEPT = 2, 64
 #: Rows of one range of ids, and the most ranges: their bounds are sent to every task.
 RANGE_ROWS, RANGES = 4_000, 20_000
 

@@ -50,6 +50,16 @@ def test_likeness_follows_the_shared_part():
     assert fp.likeness(fp.sketches([""])[0], fp.sketches([""])[0]) == 1 and fp.likeness(own, fp.sketches([""])[0]) == 0
 
 
+def test_short_texts_with_an_equal_half_are_alike():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefghijkl ") for _ in range(rng.randint(20, 40))) for _ in range(401)]
+    edited = [t[: len(t) - len(t) // 2] + u[: len(t) // 2] for t, u in zip(texts, texts[1:])]
+    own, half = fp.sketches(texts), fp.sketches(edited)
+    near = [fp.likeness(a, b) for a, b in zip(own, half)]
+    other = [fp.likeness(a, b) for a, b in zip(own, own[1:])]
+    assert np.mean([v == 0 for v in near]) < 0.03 and np.mean(near) > 0.14 and np.mean(other) < 0.02
+
+
 def brute(rows):
     """Rows are (id, text) in falling order of ids."""
     out = []
