@@ -131,7 +131,7 @@ def draws(code: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndarray
 
 
 def signatures(docs: DataFrame, idf: Broadcast, id_col: str, text_col: str) -> DataFrame:
-    """``(id, text_hash, word_key, draws)``: texts of the same words share ``word_key``; both last are null without words."""
+    """``(id, text_hash, word_key, draws)``: texts of the same words share ``word_key``, without words equal texts do; null and empty texts have none, texts without words no draws."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,6 +149,8 @@ def signatures(docs: DataFrame, idf: Broadcast, id_col: str, text_col: str) -> D
                     drawn[at] = (xxhash.xxh3_128_hexdigest(code[lo:hi].tobytes() + count[lo:hi].tobytes()), drawn[at].tobytes())
                 for at in range(len(part)):
                     key, sig = drawn.get(at, (None, None))
+                    if key is None and part[at]:
+                        key = "signs-" + xxhash.xxh3_128_hexdigest(part[at].encode("utf-8", "surrogatepass"))
                     keys.append(key)
                     sigs.append(sig)
             arrays = [batch.column("id"), batch.column("text_hash"), pa.array(keys, pa.string()), pa.array(sigs, pa.binary())]
@@ -311,8 +313,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``(id_col, text_hash, class_id, first)``, one row per row of ``docs``.
 
     ``class_id``: least id among the documents reachable by links of weighted Jaccard at least 0.8; ``first``: the row is the class's first
-    by (id, hash of the text); repeated rows tie. ``text_hash``: ``xxhash64`` of the text. Null texts and texts without words link with nothing and are their own
-    class. A null id comes last; other columns are ignored; an empty table gives an empty result. Missed: pairs that share no band, at similarity 0.8 about
+    by (id, hash of the text); repeated rows tie. ``text_hash``: ``xxhash64`` of the text. Null and empty texts link with nothing and are their own
+    class; of texts without words only equal ones form a class. A null id comes last; other columns are ignored; an empty table gives an empty result. Missed: pairs that share no band, at similarity 0.8 about
     one in twenty thousand, and pairs with too few equal draws (``AGREE``).
     """
     spark = docs.sparkSession
@@ -322,7 +324,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     grouped = marked.filter("word_key is not null").groupBy("word_key").agg(F.min(by_id).alias("first"), F.first("draws").alias("draws"))
     # Numbered once and written, so that every later step sees the same numbers.
     nodes = cut(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    members = cut(_leaders(bands(nodes)), "buckets")
+    members = cut(_leaders(bands(nodes.filter("draws is not null"))), "buckets")
     pairs = members.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     agreeing = cut(_agreeing(pairs, nodes), "pairs")
     wanted = members.select("node").distinct().join(nodes.select("node", "first"), "node")

@@ -108,6 +108,14 @@ def test_edges(spark, odd_docs, no_docs):
     assert neardup.classes(no_docs).count() == 0 and neardup.drop_near_duplicates(no_docs).count() == 0
 
 
+def test_equal_texts_of_signs_only_are_one_class(spark):
+    rows = [(1, "-----"), (2, "😀 😀"), (3, "-----"), (4, "😀 😀"), (5, "----"), (6, ""), (7, ""), (8, None), (9, "one two three"), (10, "one two three")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 2, 5: 5, 6: 6, 7: 7, 8: 8, 9: 9, 10: 9}
+    assert sorted(r["doc_id"] for r in neardup.drop_near_duplicates(docs).collect()) == [1, 2, 5, 6, 7, 8, 9]
+
+
 def test_op8_on_the_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = brute([(r["doc_id"], r["text"]) for r in docs.collect()], neardup.rarity(docs))
