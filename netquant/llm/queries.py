@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from netquant.lineage import cut
-from netquant.llm import bpe, counts, embeddings, fingerprints, langid, neardup, packing, pii, quality, toxicity
+from netquant.llm import archives, bpe, counts, embeddings, fingerprints, langid, neardup, negatives, oracles, packing, phrases, pii, quality, toxicity
 from netquant.llm.common import Registry, table
 
 QUERIES = Registry()
@@ -82,4 +82,21 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", F.col("first").alias("kept"))
 
 
+@QUERIES.add("op11_str_packed_rtree", oracles.HARD_NEGATIVES)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+@QUERIES.add("op12_multikey_quicksort", oracles.COLLOCATIONS)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@QUERIES.add("op13_legacy_archive_converter", oracles.ARCHIVED_PAGES)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.archived_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES.add("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
