@@ -5,10 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netquant.functions.ratios import INF, has_finite_and_inf, is_finite, nan
+from netquant.functions.ratios import INF, STAT_COLUMNS, has_finite_and_inf, is_finite, nan
 from netquant.lineage import cut
 from netquant.operators.aggregates import merged_ratio
 from netquant.operators.nodes import joined_list, unique_peptide_nodes
@@ -102,59 +105,122 @@ def shared_nodes(members: DataFrame, links: DataFrame, by: Sequence[str] = (), o
     return members.join(two, [*by, "peptide_node"], "left_semi")
 
 
-def protein_set_keys(links: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``(by, peptide_node, protein_set, n_sharing)``: the protein nodes of each peptide node."""
+def protein_sets(links: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(by, peptide_node, set_id, n_sharing)``: a name for the set of protein nodes of each peptide node, and its size.
+
+    Peptide nodes with equal sets share the name, the least of them; sets are compared by size and two 64-bit hashes.
+    """
+    by = list(by)
+    signature = ["n_sharing", "_hash_1", "_hash_2"]
+    signed = links.groupBy(*by, "peptide_node").agg(
+        F.count("*").alias("n_sharing"),
+        F.bit_xor(F.xxhash64(F.lit(1), "protein_node")).alias("_hash_1"),
+        F.bit_xor(F.xxhash64(F.lit(2), "protein_node")).alias("_hash_2"),
+    )
+    named = signed.groupBy(*by, *signature).agg(F.min("peptide_node").alias("set_id"))
+    return signed.join(named, [*by, *signature]).select(*by, "peptide_node", "set_id", "n_sharing")
+
+
+def set_members(links: DataFrame, sets: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(by, set_id, protein_node)``: the protein nodes of each set, once however many peptide nodes have it."""
     by = list(by)
-    listed = joined_list(links, [*by, "peptide_node"], "protein_node", "protein_set")
-    counts = links.groupBy(*by, "peptide_node").agg(F.count("*").alias("n_sharing"))
-    return listed.join(counts, [*by, "peptide_node"])
+    named = sets.filter("peptide_node = set_id").select(*by, "peptide_node")
+    return links.join(named, [*by, "peptide_node"], "left_semi").select(*by, F.col("peptide_node").alias("set_id"), "protein_node")
 
 
-def shared_by_protein_set(members: DataFrame, set_keys: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``(by, pair, protein_set, peptide_node)``: shared nodes grouped by who shares them."""
-    return members.join(set_keys.select(*by, "peptide_node", "protein_set"), [*by, "peptide_node"])
+def set_texts(links: DataFrame, sets: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(by, set_id, protein_set)``: the set as the text of an output table."""
+    return joined_list(set_members(links, sets, by), [*by, "set_id"], "protein_node", "protein_set")
 
 
-def shared_by_protein(members: DataFrame, links: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``(by, pair, protein_node, n_shared_nodes)``: every protein node holding shared nodes of the pair."""
-    return (
-        members.join(links, [*by, "peptide_node"])
-        .groupBy(*by, *PAIR, "protein_node")
-        .agg(F.count("*").alias("n_shared_nodes"))
+def pair_sets(of_set: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(by, node_1, node_2, set_id)``: the sets that hold both nodes of a pair. ``of_set``: :func:`set_members`."""
+    return pair_members(of_set.withColumnRenamed("set_id", "peptide_node"), by).withColumnRenamed("peptide_node", "set_id")
+
+
+def shared_by_set(links: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(by, pair, set_id, n_shared)``: shared peptide nodes of each pair, grouped by who shares them."""
+    by = list(by)
+    sets = cut(protein_sets(links, by), "sets")
+    held = sets.groupBy(*by, "set_id").agg(F.count("*").alias("n_shared"))
+    return pair_sets(set_members(links, sets, by), by).join(held, [*by, "set_id"])
+
+
+def shared_by_protein(links: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(by, pair, protein_node, n_shared_nodes)``: every protein node holding shared nodes of the pair.
+
+    The table itself has a row per pair and protein of a hub; operators that need only the number use :func:`n_sharing`.
+    """
+    by = list(by)
+    sets = cut(protein_sets(links, by), "sets")
+    of_set = set_members(links, sets, by)
+    held = sets.groupBy(*by, "set_id").agg(F.count("*").alias("_n"))
+    rows = pair_sets(of_set, by).join(of_set.join(held, [*by, "set_id"]), [*by, "set_id"])
+    return rows.groupBy(*by, *PAIR, "protein_node").agg(F.sum("_n").alias("n_shared_nodes"))
+
+
+def sharing_signatures(of_pair: DataFrame, sizes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(by, pair, n_sets, largest, hash_1, hash_2)``: which sets a pair lies in, combined map-side."""
+    by = list(by)
+    return of_pair.join(sizes, [*by, "set_id"]).groupBy(*by, *PAIR).agg(
+        F.count("*").alias("n_sets"),
+        F.max("n_sharing").alias("largest"),
+        F.bit_xor(F.xxhash64(F.lit(3), "set_id")).alias("hash_1"),
+        F.bit_xor(F.xxhash64(F.lit(4), "set_id")).alias("hash_2"),
     )
 
 
-def n_sharing(members: DataFrame, links: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Number of protein nodes around the shared nodes of each pair; above 2 a third one explains it."""
-    return shared_by_protein(members, links, by).groupBy(*by, *PAIR).agg(F.count("*").alias("n_sharing"))
+def expanded_signatures(signed: DataFrame, of_pair: DataFrame, of_set: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(by, signature, protein_node)``: the proteins of each combination of two sets or more, taken from one of its pairs."""
+    by = list(by)
+    signature = ["n_sets", "hash_1", "hash_2"]
+    one = signed.filter("n_sets > 1").groupBy(*by, *signature).agg(F.min(F.struct(*PAIR)).alias("_pair"))
+    named = one.select(*by, *signature, "_pair.*")
+    return named.join(of_pair, [*by, *PAIR]).drop(*PAIR).join(of_set, [*by, "set_id"]).select(*by, *signature, "protein_node")
 
 
-def pair_ratios(
-    pairs: DataFrame, members: DataFrame, links: DataFrame, stats: DataFrame, by: Sequence[str] = (),
-    unique_only: bool = True,
-) -> DataFrame:
-    """``(by, pair, protein_set, u1, s, u2, n_sharing)`` with NaN where a side has no value.
+def n_sharing(of_pair: DataFrame, of_set: DataFrame, sets: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(by, pair, n_sharing)``: protein nodes around the shared nodes of each pair; above 2 a third one explains it.
 
-    Ratios are merged from the additive counts of peptide nodes, so no PSM is joined to a pair. With
-    ``unique_only`` the unique side depends on one node and is computed once per node.
+    The number of a pair in one set is that set's size. Pairs in the same several sets have the same number: only one pair of
+    each combination of sets is expanded to proteins, so a hub costs its pairs and never pairs times proteins.
     """
     by = list(by)
-    sets = shared_by_protein_set(members, protein_set_keys(links, by), by)
-    shared = merged_ratio(sets.join(stats, [*by, "peptide_node"], "left"), [*by, *PAIR, "protein_set"], "s").drop("n_s")
-    result = shared.join(n_sharing(members, links, by), [*by, *PAIR], "left")
+    sizes = sets.filter("peptide_node = set_id").select(*by, "set_id", "n_sharing")
+    signed = cut(sharing_signatures(of_pair, sizes, by), "pair-signatures")
+    signature = ["n_sets", "hash_1", "hash_2"]
+    counted = expanded_signatures(signed, of_pair, of_set, by).distinct().groupBy(*by, *signature).agg(F.count("*").alias("_n"))
+    several = signed.filter("n_sets > 1").join(counted, [*by, *signature]).select(*by, *PAIR, F.col("_n").alias("n_sharing"))
+    return signed.filter("n_sets = 1").select(*by, *PAIR, F.col("largest").alias("n_sharing")).union(several)
+
+
+def pair_ratios(links: DataFrame, stats: DataFrame, by: Sequence[str] = (), unique_only: bool = True) -> DataFrame:
+    """``(by, pair, set_id, u1, s, u2, n_sharing)`` with NaN where a side has no value; one row per pair and shared set.
+
+    Ratios are merged from the additive counts of peptide nodes. The shared ratio belongs to the set and, with ``unique_only``, the unique one
+    to the node: each is computed once and only looked up by the pairs. Otherwise a side is what its node has and the other lacks, set by set.
+    """
+    by = list(by)
+    sets = cut(protein_sets(links, by), "sets")
+    of_set = cut(set_members(links, sets, by), "set-members")
+    of_pair = cut(pair_sets(of_set, by), "pair-sets")
+    per_set = sets.join(stats, [*by, "peptide_node"])
+    result = of_pair.join(merged_ratio(per_set, [*by, "set_id"], "s").drop("n_s"), [*by, "set_id"], "left")
+    result = result.join(n_sharing(of_pair, of_set, sets, by), [*by, *PAIR], "left")
     for side, other, out in (("node_1", "node_2", "u1"), ("node_2", "node_1", "u2")):
         if unique_only:
-            own = unique_peptide_nodes(links, by).join(stats, [*by, "peptide_node"])
+            alone = sets.filter("n_sharing = 1").select(*by, "set_id").distinct()
+            own = of_set.join(alone, [*by, "set_id"]).join(per_set, [*by, "set_id"])
             ratio = merged_ratio(own, [*by, "protein_node"], out).withColumnRenamed("protein_node", side)
             keys = [*by, side]
         else:
-            own = unique_nodes_of(pairs, links, side, other, by, unique_only=False)
+            nodes = of_set.withColumnRenamed("set_id", "peptide_node")
+            own = unique_nodes_of(of_pair.select(*by, *PAIR).distinct(), nodes, side, other, by, unique_only=False)
+            summed = per_set.groupBy(*by, "set_id").agg(*[F.sum(c).alias(c) for c in STAT_COLUMNS])
+            ratio = merged_ratio(own.withColumnRenamed("peptide_node", "set_id").join(summed, [*by, "set_id"]), [*by, *PAIR], out)
             keys = [*by, *PAIR]
-            ratio = merged_ratio(own.join(stats, [*by, "peptide_node"]), keys, out)
         result = result.join(ratio.drop(f"n_{out}"), keys, "left")
-    return result.select(
-        *by, *PAIR, "protein_set", *[F.coalesce(c, nan()).alias(c) for c in ("u1", "s", "u2")], "n_sharing"
-    )
+    return result.select(*by, *PAIR, "set_id", *[F.coalesce(c, nan()).alias(c) for c in ("u1", "s", "u2")], "n_sharing")
 
 
 def classify_fold_change(
@@ -233,46 +299,87 @@ def modified_z(
     )
 
 
-def outlier_population(
-    ratios: DataFrame, members: DataFrame, links: DataFrame, set_keys: DataFrame, values: DataFrame,
-    by: Sequence[str] = (), unique_only: bool = True,
+def outlier_scores(
+    ratios: DataFrame, links: DataFrame, values: DataFrame, by: Sequence[str] = (), unique_only: bool = True, block: int = 20_000
 ) -> DataFrame:
-    """Rows ``(by, pair, protein_set, test, value, is_tested)`` of the three outlier tests.
+    """``(by, pair, set_id, test, n_values, modified_z)`` of the three outlier tests of each pair and shared set with finite ratios.
+
+    ``values`` holds one row per individual value of a peptide node; the values of a protein set are one run. u1 is tested against the shared
+    run and the runs of side 2, u2 against side 1 and the shared run, the shared ratio against both sides, each with the tested value itself.
+    A side's runs are those of the sets of its node that the other node is not in, with ``unique_only`` of the node alone.
 
-    ``values`` holds one row per individual value of a peptide node. u1 is tested against the shared
-    set and side 2, u2 against side 1 and the shared set, the shared ratio against both sides.
+    Tests go to blocks of about ``block``: small sets together, the pairs of a hub as tiles of its nodes. A run is sent once to each block that
+    needs it, never to a pair; medians are selected from the two or more runs inside the block.
     """
     by = list(by)
-    group = [*by, *PAIR, "protein_set"]
-    finite = values.filter(is_finite("log2_ratio")).select(*by, "peptide_node", F.col("log2_ratio").alias("value"))
-    usable = ratios.filter(is_finite("u1") & is_finite("s") & is_finite("u2"))
-    sets = usable.select(*group)
-    pairs = sets.select(*by, *PAIR).distinct()
-
-    def feeds(rows: DataFrame, *tests: str) -> DataFrame:
-        """Values of one part, once for each test they are population of."""
-        names = F.explode(F.array(*[F.lit(t) for t in tests])).alias("test")
-        return rows.select(*group, names, "value", F.lit(False).alias("is_tested"))
-
-    shared = shared_by_protein_set(members, set_keys, by).join(sets, group, "left_semi").join(finite, [*by, "peptide_node"])
-    population = feeds(shared, "u1", "u2")
-    for side, other, tests in (("node_1", "node_2", ("s", "u2")), ("node_2", "node_1", ("u1", "s"))):
-        own = unique_nodes_of(pairs, links, side, other, by, unique_only).join(finite, [*by, "peptide_node"])
-        rows = sets.join(own.select(*by, *PAIR, "value"), [*by, *PAIR])
-        population = population.unionByName(feeds(rows, *tests))
-    tested = F.inline(F.array(*[F.struct(F.lit(t).alias("test"), F.col(t).alias("value")) for t in ("u1", "s", "u2")]))
-    return population.unionByName(usable.select(*group, tested).withColumn("is_tested", F.lit(True)))
+    sets = cut(protein_sets(links, by), "sets")
+    usable = ratios.filter(is_finite("u1") & is_finite("s") & is_finite("u2")).select(*by, *PAIR, "set_id", "u1", "s", "u2")
+    tests = cut(usable.withColumn("test_id", F.monotonically_increasing_id()), "tests")
+    bundles = max(1, -(-tests.count() // block))
+    tiles = tests.groupBy(*by, "set_id").agg(F.ceil(F.sqrt(F.count("*") / F.lit(float(block)))).cast("int").alias("_tiles"))
+    tile = lambda node: F.pmod(F.xxhash64(node), F.col("_tiles"))
+    small = F.xxhash64(F.lit(0), F.pmod(F.xxhash64(*by, "set_id"), F.lit(bundles)))
+    dealt = tests.join(tiles, [*by, "set_id"]).withColumn(
+        "block", F.when(F.col("_tiles") <= 1, small).otherwise(F.xxhash64(F.lit(1), *by, "set_id", tile("node_1"), tile("node_2")))
+    )
+    name = lambda *c: F.xxhash64(*by, *c)
+    rows = dealt.select(
+        "block", F.lit(0).alias("kind"), "test_id", name("set_id").alias("a"), name("node_1").alias("b"), name("node_2").alias("c"), "u1", "s", "u2"
+    )
+    of_set = set_members(links, sets, by)
+    if unique_only:
+        of_set = of_set.join(sets.filter("n_sharing = 1").select(*by, "set_id").distinct(), [*by, "set_id"], "left_semi")
+    side = lambda node: dealt.select("block", *by, F.col(node).alias("protein_node"))
+    held = side("node_1").union(side("node_2")).distinct().join(of_set, [*by, "protein_node"])
+    run = values.filter(is_finite("log2_ratio")).join(sets, [*by, "peptide_node"]).select(*by, "set_id", F.col("log2_ratio").alias("x"))
+    wanted = held.select("block", *by, "set_id").union(dealt.select("block", *by, "set_id")).distinct()
+    none = F.lit(None)
+    fill = lambda *names: [none.cast("double" if n in ("u1", "s", "u2") else "long").alias(n) for n in names]
+    rows = rows.union(held.select("block", F.lit(1), *fill("test_id"), name("protein_node"), name("set_id"), *fill("c", "u1", "s", "u2")))
+    rows = rows.union(wanted.join(run, [*by, "set_id"]).select("block", F.lit(2), *fill("test_id"), name("set_id"), *fill("b", "c"), "x", *fill("s", "u2")))
+    scored = rows.groupBy("block").applyInArrow(_block_scores, "test_id long, test string, n_values long, modified_z double")
+    return tests.join(scored, "test_id").select(*by, *PAIR, "set_id", "test", "n_values", "modified_z")
+
+
+def _block_scores(block: pa.Table) -> pa.Table:
+    """All tests of one block; its rows are tests (0), the sets of nodes (1) and the values of sets (2)."""
+    parts = [block.filter(pc.equal(block.column("kind"), k)) for k in range(3)]
+    read = lambda k, c: parts[k].column(c).to_numpy()
+    owner = read(2, "a")
+    order = np.argsort(owner, kind="stable")
+    value, owner = read(2, "u1")[order], owner[order]
+    heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.empty(0, np.int64)
+    runs = dict(zip(owner[heads].tolist(), np.split(value, heads[1:])))
+    sets_of: dict[int, set[int]] = {}
+    for node, of in zip(read(1, "a").tolist(), read(1, "b").tolist()):
+        sets_of.setdefault(node, set()).add(of)
+    nothing = np.empty(0)
+    ids, names, sizes, scores = [], [], [], []
+    for test, shared, one, two, u1, s, u2 in zip(*(read(0, c).tolist() for c in ("test_id", "a", "b", "c", "u1", "s", "u2"))):
+        first, second = sets_of.get(one, set()), sets_of.get(two, set())
+        own = [[runs[r] for r in sorted(mine - theirs) if r in runs] for mine, theirs in ((first, second), (second, first))]
+        both = [runs.get(shared, nothing)]
+        for name, tested, around in (("u1", u1, both + own[1]), ("s", s, own[0] + own[1]), ("u2", u2, own[0] + both)):
+            population = np.concatenate([*around, [tested]])
+            median = np.median(population)
+            mad = np.median(np.abs(population - median))
+            ids.append(test)
+            names.append(name)
+            sizes.append(len(population))
+            scores.append(MODIFIED_Z_SCALE * abs(tested - median) / mad if mad > SMALLEST_DEVIATION else 0.0)
+    columns = [pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(scores, pa.float64())]
+    return pa.Table.from_arrays(columns, ["test_id", "test", "n_values", "modified_z"])
 
 
 def classify_outlier(
-    ratios: DataFrame, scores: DataFrame, by: Sequence[str] = (), threshold: float = MODIFIED_Z_THRESHOLD
+    ratios: DataFrame, scores: DataFrame, by: Sequence[str] = (), threshold: float = MODIFIED_Z_THRESHOLD, set_key: str = "set_id"
 ) -> DataFrame:
     """Outlier case 0-7 of each pair and shared set; null where a test has too few values.
 
-    ``scores`` is :func:`modified_z` over (pair, protein_set, test).
+    ``scores`` is :func:`outlier_scores`, or :func:`modified_z` over (pair, set, test).
     """
     by = list(by)
-    group = [*by, *PAIR, "protein_set"]
+    group = [*by, *PAIR, set_key]
     wide = scores.groupBy(*group).agg(
         F.min("n_values").alias("_n"),
         *[F.max(F.when(F.col("test") == t, F.col("modified_z"))).alias(f"_z_{t}") for t in ("u1", "s", "u2")],

@@ -27,6 +27,7 @@ def analyse_network(
     node_filters: Mapping[str, int] | None = None,
     similarity: bool = False,
     fold: float = 2.0,
+    outlier_test: bool = False,
     outlier_fdr: float | None = None,
     fdr_threshold: float = 0.05,
 ) -> dict[str, DataFrame]:
@@ -35,7 +36,8 @@ def analyse_network(
     ``psm`` has one row per psm_id: peptide_key, experiment, replicate, raw_file, log2_ratio, weight,
     ions, singleton and, to ignore modified peptides, has_ptm. ``psm_protein`` is (psm_id, protein_acc),
     ``protein`` (protein_acc, gene, taxonomy, description). Shared intermediate tables are written
-    once; the returned tables are plans on them.
+    once; the returned tables are plans on them. With ``outlier_test`` the modified Z decides pairs with
+    enough values in place of the middle-half rule.
     """
     by = list(by)
     log: list[tuple[DataFrame, str, str]] = []
@@ -70,10 +72,14 @@ def analyse_network(
     in_cluster = components.cluster_peptides(edges, cluster_of, by)
     final = cut(reports.final_table(integrated, table, in_cluster, by), "final")
 
-    members = pairs.pair_members(links, by)
     stats = aggregates.node_stats(rows, peptide_nodes, by)
-    ratios = pairs.pair_ratios(members.select(*by, *pairs.PAIR).distinct(), members, links, stats, by)
-    classified = cut(pairs.classify_fold_change(ratios, fold).withColumn("outlier_case", F.lit(None).cast("string")), "pairs")
+    ratios = cut(pairs.pair_ratios(links, stats, by), "pair_ratios")
+    if outlier_test:
+        values = aggregates.individual_values(rows, peptide_nodes, by)
+        ratios = pairs.classify_outlier(ratios, pairs.outlier_scores(ratios, links, values, by), by)
+        classified = cut(pairs.classify_fold_change(ratios, fold, "outlier_case"), "pairs")
+    else:
+        classified = cut(pairs.classify_fold_change(ratios, fold).withColumn("outlier_case", F.lit(None).cast("string")), "pairs")
 
     key = [*by, "peptide_node"]
     ions = rows.join(peptide_nodes, [*by, "peptide_key"]).groupBy(*key).agg(F.sum("ions").alias("ion_count"))
@@ -85,7 +91,7 @@ def analyse_network(
         "peptides": reports.peptide_table(rows, by, edges),
         "peptide_nodes": table,
         "final": final,
-        "pairs": reports.pair_table(classified, links, members, protein, protein_nodes, by, fold),
+        "pairs": reports.pair_table(classified, links, protein, protein_nodes, by, fold),
         "pair_fdr": pairs.pair_fdr(classified, by),
         "summary": aggregates.summary(named, by, fdr_threshold),
         "clusters": nodes.cluster_sizes(cluster_of, protein_nodes, edges, by),

@@ -25,29 +25,38 @@ def gr10_shared_by_two_only(spark, sf_dir):
     return pairs.shared_nodes(pairs.pair_members(links, RUN), links, RUN, only_two=True)
 
 
+def named_sets(rows, links):
+    """The text of each set in place of its name."""
+    texts = pairs.set_texts(links, pairs.protein_sets(links, RUN), RUN)
+    return rows.join(texts, [*RUN, "set_id"]).drop("set_id")
+
+
 @QUERIES.add("gr11_shared_by_protein_set", with_views("shared sets", """SELECT run_id, node_1, node_2, protein_set, count(*) AS n_shared
     FROM shared JOIN sets USING (run_id, peptide_node) GROUP BY ALL"""))
 def gr11_shared_by_protein_set(spark, sf_dir):
     links = network(spark, sf_dir).links
-    sets = pairs.shared_by_protein_set(pairs.pair_members(links, RUN), pairs.protein_set_keys(links, RUN), RUN)
-    return sets.groupBy(*RUN, "node_1", "node_2", "protein_set").agg(F.count("*").alias("n_shared"))
+    return named_sets(pairs.shared_by_set(links, RUN), links)
 
 
 @QUERIES.add("gr12_shared_by_protein", with_views("shared links", """SELECT run_id, node_1, node_2, protein_node, count(*) AS n_shared_nodes
     FROM shared JOIN links USING (run_id, peptide_node) GROUP BY ALL"""))
 def gr12_shared_by_protein(spark, sf_dir):
-    links = network(spark, sf_dir).links
-    return pairs.shared_by_protein(pairs.pair_members(links, RUN), links, RUN)
+    return pairs.shared_by_protein(network(spark, sf_dir).links, RUN)
 
 
 SHARING = """SELECT run_id, node_1, node_2, count(DISTINCT protein_node) AS n_sharing
     FROM shared JOIN links USING (run_id, peptide_node) GROUP BY ALL"""
 
 
+def sharing_table(links):
+    sets = cut(pairs.protein_sets(links, RUN), "sets")
+    of_set = cut(pairs.set_members(links, sets, RUN), "set-members")
+    return pairs.n_sharing(cut(pairs.pair_sets(of_set, RUN), "pair-sets"), of_set, sets, RUN)
+
+
 @QUERIES.add("gr13_n_sharing", with_views("shared links", SHARING))
 def gr13_n_sharing(spark, sf_dir):
-    links = network(spark, sf_dir).links
-    return pairs.n_sharing(pairs.pair_members(links, RUN), links, RUN)
+    return sharing_table(network(spark, sf_dir).links)
 
 
 @QUERIES.add("gr9_unique_nodes_loose", with_views("pairs links", """SELECT pairs.*, a.peptide_node FROM pairs
@@ -100,11 +109,13 @@ RATIO_VIEWS = {
 RATIO_NEEDS = "shared sets node_psm uniq links"
 
 
-def pair_ratio_table(net, unique_only=True):
-    members = pairs.pair_members(net.links, RUN)
+def pair_ratio_ids(net, unique_only=True):
     stats = aggregates.node_stats(net.psm, net.peptide_nodes, RUN)
-    found = members.select(*RUN, "node_1", "node_2").distinct()
-    return pairs.pair_ratios(found, members, net.links, stats, RUN, unique_only)
+    return pairs.pair_ratios(net.links, stats, RUN, unique_only)
+
+
+def pair_ratio_table(net, unique_only=True):
+    return named_sets(pair_ratio_ids(net, unique_only), net.links)
 
 
 @QUERIES.add("pr0_pair_ratios", with_views(RATIO_NEEDS, f"""SELECT run_id, node_1, node_2, protein_set, {snum('u1')} AS u1,
@@ -156,11 +167,8 @@ def agg17_infinity_helpers(spark, sf_dir):
 
 
 def outlier_scores(net, ratios):
-    sets = pairs.protein_set_keys(net.links, RUN)
     values = aggregates.individual_values(net.psm, net.peptide_nodes, RUN)
-    members = pairs.pair_members(net.links, RUN)
-    population = cut(pairs.outlier_population(ratios, members, net.links, sets, values, RUN, unique_only=False), "population")
-    return pairs.modified_z(population, [*RUN, "node_1", "node_2", "protein_set", "test"])
+    return pairs.outlier_scores(ratios, net.links, values, RUN, unique_only=False)
 
 
 # Individual values of both sides and the shared set of each pair, then the score of each test.
@@ -204,8 +212,8 @@ OUTLIER_NEEDS = "shared sets node_psm links pairs"
 @QUERIES.add("pr3_modified_z", with_views(OUTLIER_NEEDS, f"SELECT run_id, node_1, node_2, protein_set, test, n_values, {snum('modified_z', 4)} AS modified_z FROM scores", OUTLIER_VIEWS))
 def pr3_modified_z(spark, sf_dir):
     net = network(spark, sf_dir)
-    ratios = cut(pair_ratio_table(net, unique_only=False), "pair_ratios")
-    return rounded(outlier_scores(net, ratios), "modified_z", digits=4)
+    ratios = cut(pair_ratio_ids(net, unique_only=False), "pair_ratios")
+    return rounded(named_sets(outlier_scores(net, ratios), net.links), "modified_z", digits=4)
 
 
 @QUERIES.add("pr2_outlier_cases", with_views(OUTLIER_NEEDS, """SELECT run_id, node_1, node_2, protein_set, CASE
@@ -219,9 +227,9 @@ def pr3_modified_z(spark, sf_dir):
       FROM scores GROUP BY ALL) USING (run_id, node_1, node_2, protein_set)""", OUTLIER_VIEWS))
 def pr2_outlier_cases(spark, sf_dir):
     net = network(spark, sf_dir)
-    ratios = cut(pair_ratio_table(net, unique_only=False), "pair_ratios")
+    ratios = cut(pair_ratio_ids(net, unique_only=False), "pair_ratios")
     classified = pairs.classify_outlier(ratios, outlier_scores(net, ratios), RUN)
-    return classified.drop("u1", "s", "u2", "n_sharing")
+    return named_sets(classified, net.links).drop("u1", "s", "u2", "n_sharing")
 
 
 @QUERIES.add("pr4_pair_fdr", with_views(RATIO_NEEDS, f"""SELECT *, {snum("n_shared_cases * 100.0 / nullif(n_shared_cases + n_unique_cases / 2.0, 0)")} AS pair_fdr
@@ -240,6 +248,5 @@ def pr5_case_counts(spark, sf_dir):
 @QUERIES.add("pr6_pair_counts", with_views("shared links", f"""SELECT run_id, count(*) AS n_pairs,
     CAST(sum(n_sharing) AS BIGINT) AS n_sharing_total FROM sharing GROUP BY ALL""", {"sharing": SHARING}))
 def pr6_pair_counts(spark, sf_dir):
-    links = network(spark, sf_dir).links
-    members = pairs.pair_members(links, RUN)
-    return pairs.pair_counts(members.select(*RUN, "node_1", "node_2").distinct(), pairs.n_sharing(members, links, RUN), RUN)
+    sharing = cut(sharing_table(network(spark, sf_dir).links), "sharing")
+    return pairs.pair_counts(sharing.select(*RUN, "node_1", "node_2"), sharing, RUN)

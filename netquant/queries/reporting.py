@@ -328,9 +328,8 @@ PAIR_VIEWS = {**pairing.RATIO_VIEWS,
     LEFT JOIN tax x ON x.run_id = c.run_id AND x.protein_node = node_1 LEFT JOIN tax y ON y.run_id = c.run_id AND y.protein_node = node_2""", PAIR_VIEWS))
 def snk5_pair_table(spark, sf_dir):
     net = network(spark, sf_dir)
-    classified = pairs.classify_fold_change(pairing.pair_ratio_table(net)).withColumn("outlier_case", F.lit(None).cast("string"))
-    members = pairs.pair_members(net.links, RUN)
-    table = reports.pair_table(classified, net.links, members, net.protein, net.protein_nodes, RUN)
+    classified = pairs.classify_fold_change(pairing.pair_ratio_ids(net)).withColumn("outlier_case", F.lit(None).cast("string"))
+    table = reports.pair_table(classified, net.links, net.protein, net.protein_nodes, RUN)
     return table.drop("ratio_1", "ratio_2", "ratio_shared", "outlier_case", "mark")
 
 

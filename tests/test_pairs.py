@@ -1,6 +1,8 @@
 """Decision trees of pair classification."""
 
 import math
+import random
+import statistics
 
 import pytest
 
@@ -69,7 +71,7 @@ def test_outlier_tree(spark):
         [(f"a{i:02d}", "b", "x", t, c[4], float(z)) for i, c in enumerate(OUTLIER) if c[4] for t, z in zip(("u1", "s", "u2"), c[5:8])],
         "node_1 string, node_2 string, protein_set string, test string, n_values long, modified_z double",
     )
-    got = [r.outlier_case for r in pairs.classify_outlier(ratios, scores).orderBy("node_1").collect()]
+    got = [r.outlier_case for r in pairs.classify_outlier(ratios, scores, set_key="protein_set").orderBy("node_1").collect()]
     assert got == [c[8] for c in OUTLIER]
 
 
@@ -87,3 +89,75 @@ def test_modified_z(spark):
 def test_pair_fdr_guard(spark):
     df = spark.createDataFrame([("r", "CASE6")], "run string, fold_case string")
     assert math.isnan(pairs.pair_fdr(df, ["run"]).first().pair_fdr)
+
+
+def test_a_hub_is_not_expanded_by_pair(spark):
+    """2,000 nodes in one peptide and in a second one with one node more: two signatures, not pairs times proteins."""
+    rows = [("a", f"p{i:04d}") for i in range(2000)] + [("b", f"p{i:04d}") for i in range(2001)] + [("c", "p0000"), ("c", "q"), ("d", "q"), ("d", "r")]
+    links = spark.createDataFrame(rows, "peptide_node string, protein_node string")
+    sets = pairs.protein_sets(links).cache()
+    of_set = pairs.set_members(links, sets).cache()
+    of_pair = pairs.pair_sets(of_set).cache()
+    signed = pairs.sharing_signatures(of_pair, sets.filter("peptide_node = set_id").select("set_id", "n_sharing")).cache()
+    assert signed.count() == 2001 * 2000 // 2 + 2
+    # One pair stands for all 1,999,000 pairs that lie in both sets.
+    assert pairs.expanded_signatures(signed, of_pair, of_set).count() == 4001
+    counted = pairs.n_sharing(of_pair, of_set, sets).groupBy("n_sharing").count().collect()
+    assert {r["n_sharing"]: r["count"] for r in counted} == {2001: 2001 * 2000 // 2, 2: 2}
+
+
+def test_sharing_against_sets(spark):
+    rng = random.Random(3)
+    rows = sorted({(f"e{rng.randrange(40)}", f"p{rng.randrange(25)}") for _ in range(150)} | {(f"f{i}", p) for i in range(3) for p in ("p1", "p2", "p3")})
+    links = spark.createDataFrame(rows, "peptide_node string, protein_node string")
+    of_peptide, want = {}, {}
+    for e, p in rows:
+        of_peptide.setdefault(e, set()).add(p)
+    for members in of_peptide.values():
+        for a in members:
+            for b in members:
+                if a < b:
+                    want.setdefault((a, b), set()).update(members)
+    sets = pairs.protein_sets(links)
+    of_set = pairs.set_members(links, sets)
+    got = pairs.n_sharing(pairs.pair_sets(of_set), of_set, sets).collect()
+    assert {(r["node_1"], r["node_2"]): r["n_sharing"] for r in got} == {k: len(v) for k, v in want.items()}
+    by_protein = pairs.shared_by_protein(links).collect()
+    count = {(a, b, p): sum({a, b, p} <= m for m in of_peptide.values()) for (a, b), around in want.items() for p in around}
+    assert {(r["node_1"], r["node_2"], r["protein_node"]): r["n_shared_nodes"] for r in by_protein} == count
+
+
+@pytest.mark.parametrize("unique_only, block", [(True, 20_000), (False, 20_000), (False, 8)])
+def test_outlier_scores_in_blocks(spark, unique_only, block):
+    rng = random.Random(5)
+    hub = [("hub", f"p{i}") for i in range(12)]
+    rows = sorted({(f"e{rng.randrange(30)}", f"p{rng.randrange(12)}") for _ in range(60)} | set(hub))
+    links = spark.createDataFrame([("r", *r) for r in rows], "run string, peptide_node string, protein_node string")
+    value_of = {e: [rng.gauss(0, 1) for _ in range(rng.randrange(1, 6))] + [INF] for e in {e for e, _ in rows}}
+    values = spark.createDataFrame([("r", e, v) for e, vs in value_of.items() for v in vs], "run string, peptide_node string, log2_ratio double")
+    of_peptide, of_protein = {}, {}
+    for e, p in rows:
+        of_peptide.setdefault(e, set()).add(p)
+        of_protein.setdefault(p, set()).add(e)
+    name = {e: min(f for f in of_peptide if of_peptide[f] == of_peptide[e]) for e in of_peptide}
+    finite = lambda es: [v for e in es for v in value_of[e][:-1]]
+    tests, want = [], {}
+    for e in {name[e] for e in name}:
+        for a in of_peptide[e]:
+            for b in of_peptide[e]:
+                if a < b:
+                    u1, s, u2 = (rng.gauss(0, 3) for _ in range(3))
+                    tests.append(("r", a, b, e, u1, s, u2))
+                    own = lambda x, y: [f for f in of_protein[x] if (len(of_peptide[f]) == 1 if unique_only else y not in of_peptide[f])]
+                    shared, one, two = finite([f for f in name if name[f] == e]), finite(own(a, b)), finite(own(b, a))
+                    for test, x, around in (("u1", u1, shared + two), ("s", s, one + two), ("u2", u2, one + shared)):
+                        population = [*around, x]
+                        center = statistics.median(population)
+                        mad = statistics.median(abs(v - center) for v in population)
+                        want[a, b, e, test] = (len(population), 0.6745 * abs(x - center) / mad if mad > 1e-9 else 0.0)
+    ratios = spark.createDataFrame([*tests, ("r", "p0", "p1", "x", NAN, 1.0, 1.0)], "run string, node_1 string, node_2 string, set_id string, u1 double, s double, u2 double")
+    got = pairs.outlier_scores(ratios, links, values, ["run"], unique_only, block).collect()
+    assert len(got) == len(want)
+    for r in got:
+        n, z = want[r["node_1"], r["node_2"], r["set_id"], r["test"]]
+        assert r["n_values"] == n and r["modified_z"] == pytest.approx(z)
