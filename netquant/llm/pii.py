@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from netquant.llm.common import text_of
 
 #: The base kinds in the order of their listing. Possessive forms of the base patterns that find the same leftmost matches
-#: without trying every sign of a long run.
+#: without trying every sign of a long run. Groups that repeat are possessive too: Java repeats those in a loop, others by recursion, which long texts end.
 BASE = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
@@ -28,13 +28,15 @@ BASE = {
 MORE = {
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "local_phone": r"(?<![0-9+(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])",
-    "hidden_email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++ ?[\[(] ?at ?[\])] ?[a-z0-9-]++(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[a-z0-9-]++)+",
+    "hidden_email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++ ?[\[(] ?at ?[\])] ?[a-z0-9-]++(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[a-z0-9-]++)++",
     "secret": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{20,}+(?![A-Za-z0-9_-])",
 }
 KINDS = [*BASE, *MORE]
 IP_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.|$)){4}$"
 CUES = r"(?:token|key|secret|passw|pwd|api|auth|ssn|social|phone|tel|call|mail|card|contact|host|addr|ip)[^\p{L}\p{N}]{0,6}$"
 CONTEXT = 24
+#: Items of a text that are gathered in one array at a time.
+RUN = 256
 
 FEATURES = [
     "kind", "length", "digits", "letters", "upper", "signs", "blanks", "distinct", "luhn", "ip_parts", "hex", "cue",
@@ -53,22 +55,40 @@ class Booster(NamedTuple):
     thresholds: dict[str, float]
 
 
+def in_runs(items: Column, out_type: str, step: Callable[[Column, Column], Column]) -> Column:
+    """Results of a scan from left to right: ``step(at, item)`` gives the next position and the item's result.
+
+    Arrays grow by copying, so results are gathered in runs of ``RUN``: a text of n items costs n copies of a run, not n of the whole.
+    """
+    # Bound to a variable, as a column would be worked out again for each run.
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / RUN).cast("int")), lambda r: F.slice(x, r * RUN + 1, F.lit(RUN)))
+    runs = F.get(F.transform(F.array(items), cut), F.lit(0))
+    start = lambda at, kind: F.struct(at.alias("at"), F.array().cast(kind).alias("out"))
+
+    def inner(state: Column, item: Column) -> Column:
+        made = F.transform(F.array(step(state["at"], item)), lambda s: F.struct(s["at"].alias("at"), F.concat(state["out"], F.array(s["value"])).alias("out")))
+        return F.get(made, F.lit(0))
+
+    def outer(state: Column, run: Column) -> Column:
+        one = F.aggregate(run, start(state["at"], f"array<{out_type}>"), inner)
+        return F.get(F.transform(F.array(one), lambda s: F.struct(s["at"].alias("at"), F.concat(state["out"], F.array(s["out"])).alias("out"))), F.lit(0))
+
+    return F.aggregate(runs, start(F.lit(0), f"array<array<{out_type}>>"), outer)
+
+
 def _spans(text: Column, kind: str, pattern: str) -> Column:
     """Matches of a pattern as structs with code point positions, end exclusive."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    empty = F.array().cast(f"array<{SPAN}>")
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["gap"])
+    def step(at: Column, pair: Column) -> Column:
+        start = at + F.length(pair["gap"])
         end = start + F.length(pair["value"])
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), pair["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+        return F.struct(end.alias("at"), span.alias("value"))
 
     pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("value"))
-    zero = F.struct(F.lit(0).cast("int").alias("at"), empty.alias("out"))
-    located = F.aggregate(pairs, zero, step, lambda s: s["out"])
-    return F.when(F.size(found) > 0, located).otherwise(empty)
+    return F.when(F.size(found) > 0, F.flatten(in_runs(pairs, SPAN, step)["out"])).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
@@ -157,7 +177,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound
     """Boosted trees from the candidates of at most ``bound`` documents and ``rows`` spans, both taken in hash order.
 
     No labelled spans exist, so candidates that pass their kind's check or stand after a cue are positive, all others negative; a
-    fifth of them calibrates the probabilities and sets the thresholds. Without candidates nothing is added to the base spans.
+    fifth of them calibrates the probabilities and sets the thresholds. With fewer than two candidates, and for kinds that the fifth doesn't hold, nothing is added to the base spans.
     """
     ids = docs.select(F.col(id_col).alias("id")).dropna().distinct().orderBy(F.xxhash64("id"), "id").limit(bound)
     # The sample is small by its bound.
@@ -166,16 +186,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound
     fold = F.pmod(F.xxhash64("id", "c.span_start"), F.lit(5)).alias("fold")
     flat = one.select(*(F.col("c")[f].alias(f) for f in FEATURES), _silver(F.col("c")).cast("int").alias("y"), fold, F.xxhash64("id", "c").alias("h"))
     got = flat.orderBy("h").limit(rows).drop("h").collect()
+    nothing = Booster([], 0.0, 1.0, 0.0, {})
     if not got:
-        return Booster([], 0.0, 1.0, 0.0, {})
+        return nothing
     data = np.array([tuple(r) for r in got], float)
     x, y, held = data[:, :-2], data[:, -2], data[:, -1] == 0
     if held.all() or not held.any():
         held = np.arange(len(y)) % 5 == 0
+    if held.all() or not held.any():
+        return nothing
     trees, start = boost(x[~held], y[~held])
     margin = start + sum((leaf_values(t, x[held]) for t in trees), np.zeros(int(held.sum())))
     slope, shift = calibrate(margin, y[held])
-    p = 1 / (1 + np.exp(-(slope * margin + shift)))
+    p = 1 / (1 + np.exp(-np.clip(slope * margin + shift, -500, 500)))
     kinds = x[held][:, 0]
     thresholds = {kind: least_probability(p[kinds == k + 1], y[held][kinds == k + 1]) for k, kind in enumerate(KINDS)}
     return Booster(trees, start, slope, shift, thresholds)
@@ -231,7 +254,7 @@ def calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
     a, b = 1.0, 0.0
     for _ in range(50):
-        p = 1 / (1 + np.exp(-(a * margin + b)))
+        p = 1 / (1 + np.exp(-np.clip(a * margin + b, -500, 500)))
         w = p * (1 - p) + 1e-9
         g = np.array([((p - target) * margin).sum() + 1e-3 * (a - 1), (p - target).sum()])
         curve = np.array([[(w * margin**2).sum() + 1e-3, (w * margin).sum()], [(w * margin).sum(), w.sum() + 1e-6]])
@@ -243,13 +266,12 @@ def calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def least_probability(p: np.ndarray, y: np.ndarray, precision: float = 0.95) -> float:
-    """Least threshold, at 0.5 or above, from which on the given share of selected candidates is positive."""
-    best = 2.0
+    """Least threshold, at 0.5 or above, from which on the given share of selected candidates is positive; 2 if there is none."""
     for t in np.unique(np.concatenate([[0.5], p[p >= 0.5]])):
         chosen = p >= t
-        if not chosen.any() or y[chosen].mean() >= precision:
-            return float(min(best, t))
-    return best
+        if chosen.any() and y[chosen].mean() >= precision:
+            return float(t)
+    return 2.0
 
 
 def probability(c: Column, model: Booster) -> Column:
@@ -312,15 +334,14 @@ def redacted(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in brackets; spans that overlap are replaced as one, named by the first."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
-    def step(state: Column, s: Column) -> Column:
-        inside = s["start"] < state["at"]
-        gap = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        part = F.when(inside, F.lit("")).otherwise(F.concat(gap, F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], F.array(part)).alias("out"))
+    def step(at: Column, s: Column) -> Column:
+        gap = F.substring(text, at + 1, s["start"] - at)
+        part = F.when(s["start"] < at, F.lit("")).otherwise(F.concat(gap, F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        return F.struct(F.greatest(at, s["end"]).alias("at"), part.alias("value"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(ordered, zero, step, rest)).otherwise(text)
+    parts = in_runs(ordered, "string", step)
+    whole = F.transform(F.array(parts), lambda p: F.concat(F.array_join(F.flatten(p["out"]), ""), F.substring(text, p["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, F.get(whole, F.lit(0))).otherwise(text)
 
 
 def redact(docs: DataFrame, model: Booster, text_col: str = "text") -> DataFrame:

@@ -105,3 +105,27 @@ def test_long_runs_stay_linear(spark):
     assert pii.candidates(docs).select(F.size("candidates").alias("n")).count() == len(texts)
     assert pii.candidates(docs).agg(F.sum(F.size("candidates"))).first()[0] >= 1
     assert time.monotonic() - began < 60
+
+
+def test_addresses_of_very_many_labels_and_texts_of_very_many_addresses(spark):
+    long, hidden = "a@b" + ".c" * 100_000, "x a [at] b" + ".c" * 100_000
+    many = "mail a1@b.cd, " * 2_000
+    docs = spark.createDataFrame([(1, long), (2, hidden), (3, many)], "doc_id long, text string")
+    model = pii.Booster([], 0.0, 1.0, 9.0, {"hidden_email": 0.5})
+    out = pii.find(docs, model).select("doc_id", "spans.kind", "spans.start", "spans.end").collect()
+    found = {r["doc_id"]: list(zip(r["kind"], r["start"], r["end"])) for r in out}
+    assert found[1] == [("email", 0, len(long))]
+    assert found[2] == [("hidden_email", 2, len(hidden))]
+    assert found[3] == [("email", 5 + 14 * i, 12 + 14 * i) for i in range(2_000)]
+    texts = {r["doc_id"]: r["text"] for r in pii.redact(docs, model).collect()}
+    assert texts == {1: "[EMAIL]", 2: "x [HIDDEN_EMAIL]", 3: "mail [EMAIL], " * 2_000}
+
+
+def test_no_threshold_without_evidence(spark):
+    one = spark.createDataFrame([(1, "see build_config_version_2024_final here")], "doc_id long, text string")
+    model = pii.train(one)
+    assert model.trees == [] and model.thresholds == {}
+    assert pii.redact(one, model).first()["text"] == one.first()["text"]
+    assert pii.least_probability(np.array([]), np.array([])) == 2.0
+    assert pii.least_probability(np.array([0.4, 0.6]), np.array([1.0, 0.0])) == 2.0
+    assert pii.least_probability(np.array([0.4, 0.7]), np.array([0.0, 1.0])) == 0.5
