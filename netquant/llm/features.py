@@ -70,6 +70,27 @@ def word_hashes(texts: list[str], signs: bool, stems: tuple[int, ...] = ()) -> t
     return np.concatenate(words), np.concatenate(docs)
 
 
+def plain_word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash and text number of every run of letters and digits, by array operations on code points only.
+
+    A word's hash is the sum of its mixed code points times the powers of an odd number, mixed again.
+    """
+    joined = " ".join(texts) + " "
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+    kind = classes()[points]
+    inside = (kind == LETTER) | (kind == NUMBER)
+    at = np.flatnonzero(np.concatenate([[True], inside[1:] != inside[:-1]]))
+    size = np.diff(np.append(at, len(points)))
+    wanted = inside[at]
+    power = np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64)
+    power[0] = 1
+    power = np.cumprod(power)
+    value = mixed(points + np.uint64(0x632BE59BD9B4E019))
+    value *= power[np.arange(len(points)) - np.repeat(at, size)]
+    return mixed(np.add.reduceat(value, at)[wanted] + size[wanted].astype(np.uint64)), np.searchsorted(ends, at[wanted])
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser; equal values stay equal, others spread."""
     x = x ^ (x >> np.uint64(31))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from netquant.lineage import cut
 from netquant.llm.common import byte_batches, hook
-from netquant.llm.features import chunks, mixed, word_hashes
+from netquant.llm.features import chunks, mixed, plain_word_hashes
 from netquant.operators.components import connected_components
 
 BATCH_BYTES = 8_000_000
@@ -35,6 +35,8 @@ SKETCH, RARE = 1 << 18, 0.25
 OWNER_BITS = 14
 #: Features of a tile that are multiplied at once.
 STEP = 2_048
+#: Shingles that are drawn from at once.
+LOCAL = 32_768
 #: Members of one side of a bucket that meet in one group.
 TILE = 1_500
 
@@ -44,7 +46,7 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
     Words are lower-case runs of letters and digits. A text of fewer than five words is one shingle, one without words has none.
     """
-    word, doc = word_hashes([t.lower() for t in texts], signs=False)
+    word, doc = plain_word_hashes([t.lower() for t in texts])
     words = np.bincount(doc, minlength=len(texts))
     if not len(word):
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), words
@@ -114,20 +116,25 @@ def draws(code: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndarray
     """For each text (``first``: where its shingles begin) and hash the drawn (shingle, level), as 32-bit numbers."""
     gamma, log_gamma, inverse = _tables()
     log_weight = np.log(weight).astype(np.float32)
-    out = np.empty((len(first), DRAWS), np.uint32)
-    low = np.uint64(0xFFFF)
-    for k in range(DRAWS):
-        bits = mixed(code + np.uint64((k + 1) * 0xD6E8FEB86659FD93 % (1 << 64)))
-        a, b = (bits & low).astype(np.uint16), ((bits >> np.uint64(16)) & low).astype(np.uint16)
-        shift = ((bits >> np.uint64(32)) & low).astype(np.float32) * np.float32(2**-16)
-        level = np.floor(log_weight * inverse[a] + shift)
-        rank = log_gamma[b] - gamma[a] * (level - shift) - gamma[a]
-        # The bits of a float in an order that integers keep.
-        order = rank.view(np.uint32)
-        order = np.where(order >> np.uint32(31), ~order, order | np.uint32(1 << 31)).astype(np.uint64)
-        name = (bits >> np.uint64(20)).astype(np.uint32) + level.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1)
-        out[:, k] = np.minimum.reduceat((order << np.uint64(32)) | name, first).astype(np.uint32)
-    return out
+    best = np.full((DRAWS, len(first)), np.iinfo(np.uint64).max, np.uint64)
+    half = np.uint64(32)
+    for begin in range(0, len(code), LOCAL):  # a run that stays in the processor's cache
+        end = min(begin + LOCAL, len(code))
+        one, two = int(np.searchsorted(first, begin, side="right")) - 1, int(np.searchsorted(first, end))
+        heads = np.maximum(first[one:two] - begin, 0)
+        for k in range(DRAWS):
+            bits = mixed(code[begin:end] + np.uint64((k + 1) * 0xD6E8FEB86659FD93 % (1 << 64)))
+            a, b, c = (bits.view(np.uint16).reshape(-1, 4)[:, i] for i in range(3))
+            shift = c.astype(np.float32) * np.float32(2**-16)
+            level = np.floor(log_weight[begin:end] * inverse[a] + shift)
+            rank = log_gamma[b] - gamma[a] * (level - shift + np.float32(1))
+            # The bits of a float in an order that integers keep.
+            order = rank.view(np.uint32)
+            order = order ^ ((rank.view(np.int32) >> np.int32(31)).view(np.uint32) | np.uint32(1 << 31))
+            name = (bits >> np.uint64(20)).astype(np.uint32) + level.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1)
+            least = np.minimum.reduceat((order.astype(np.uint64) << half) | name, heads)
+            np.minimum(best[k, one:two], least, out=best[k, one:two])
+    return np.ascontiguousarray(best.T.astype(np.uint32))
 
 
 def signatures(docs: DataFrame, idf: Broadcast, id_col: str, text_col: str) -> DataFrame:
