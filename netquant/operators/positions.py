@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netquant.functions.sequences import cleave, ptm_code, residue_positions, semi_forms
@@ -67,13 +67,24 @@ def places(sequence: str, peptides: Sequence[str]) -> Iterator[tuple[str, int]]:
                         yield peptide, start + 1
 
 
-def protein_occurrences(edges: DataFrame, proteins: DataFrame) -> DataFrame:
-    """``(peptide_key, protein_acc, start, end)`` of every occurrence of an edge's peptide.
+def cut_pieces(proteins: DataFrame, enzyme: str = "KR") -> DataFrame:
+    """``(protein_acc, piece, start)``: the fully cleaved pieces of each sequence in place, repeated ones included."""
+    numbered = proteins.select("protein_acc", F.posexplode(cleave("sequence", enzyme, 0)).alias("_i", "piece"))
+    before = Window.partitionBy("protein_acc").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    return numbered.select("protein_acc", "piece", (F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)) + 1).cast("int").alias("start"))
 
-    The peptides of a protein are laid beside its sequence once (they fit in it), so the sequence
-    is not copied to each edge. Letters are compared as they are: a stop sign is a letter.
-    """
-    listed = edges.groupBy("protein_acc").agg(F.collect_set("peptide_key").alias("peptides"))
+
+def _at_piece_ends(peptides: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Starts of peptides whose only cut is at their end: they lie at the end of a piece, so their last letters lead there."""
+    anchors = peptides.withColumn("_width", F.least(F.length("peptide_key"), F.lit(ANCHOR))).withColumn("_anchor", F.right("peptide_key", "_width"))
+    ends = pieces.withColumn("_width", F.explode(F.expr(f"sequence(1, least(length(piece), {ANCHOR}))"))).withColumn("_anchor", F.right("piece", "_width"))
+    met = anchors.join(ends, ["protein_acc", "_width", "_anchor"]).filter(F.endswith("piece", "peptide_key"))
+    return met.select("peptide_key", "protein_acc", (F.col("start") + F.length("piece") - F.length("peptide_key")).alias("start"))
+
+
+def _anywhere(peptides: DataFrame, proteins: DataFrame) -> DataFrame:
+    """Starts of any peptides, in one pass over each sequence beside which its peptides are laid (they fit in it)."""
+    listed = peptides.groupBy("protein_acc").agg(F.collect_set("peptide_key").alias("peptides"))
     rows = proteins.select("protein_acc", "sequence").join(listed, "protein_acc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,11 +93,24 @@ def protein_occurrences(edges: DataFrame, proteins: DataFrame) -> DataFrame:
             for at in range(batch.num_rows):
                 found = list(places(sequences[at].as_py() or "", lists[at].as_py()))
                 if found:
-                    peptides, starts = zip(*found)
-                    columns = [pa.array(peptides), pa.array([accs[at].as_py()] * len(found)), pa.array(starts, pa.int32())]
+                    keys, starts = zip(*found)
+                    columns = [pa.array(keys), pa.array([accs[at].as_py()] * len(found)), pa.array(starts, pa.int32())]
                     yield pa.RecordBatch.from_arrays(columns, ["peptide_key", "protein_acc", "start"])
 
-    found = rows.mapInArrow(run, "peptide_key string, protein_acc string, start int")
+    return rows.mapInArrow(run, "peptide_key string, protein_acc string, start int")
+
+
+def protein_occurrences(edges: DataFrame, proteins: DataFrame, enzyme: str = "KR") -> DataFrame:
+    """``(peptide_key, protein_acc, start, end)`` of every occurrence of an edge's peptide, overlapping ones included.
+
+    A peptide whose only cutting letter is its last one can only lie at the end of a cleaved piece: it meets the pieces of its protein by its last
+    letters and is compared with their ends. Other peptides (the last one of a sequence, missed or partial cleavage) are looked up in the sequence.
+    Letters are compared as they are: a stop sign is a letter. Any ``enzyme`` gives the same rows.
+    """
+    wanted = edges.select("peptide_key", "protein_acc").distinct()
+    simple = F.col("peptide_key").rlike(f"^[^{enzyme}]*[{enzyme}]$")
+    pieces = cut_pieces(proteins.filter(F.col("sequence").isNotNull()), enzyme)
+    found = _at_piece_ends(wanted.filter(simple), pieces).union(_anywhere(wanted.filter(~simple), proteins))
     return found.withColumn("end", F.col("start") + F.length("peptide_key") - 1)
 
 

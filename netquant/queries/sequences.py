@@ -67,12 +67,16 @@ SEQ_VIEWS = {
     "prot": "SELECT 'D' || doc_id AS protein_acc, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS sequence FROM documents",
     "pieces": "SELECT protein_acc, unnest(regexp_extract_all(sequence, '[^KR]*[KR]|[^KR]+')) AS peptide_key FROM prot",
     "pe": "SELECT DISTINCT peptide_key, protein_acc FROM pieces",
-    "pl": """SELECT DISTINCT peptide_key, length(peptide_key) AS n, len(list_filter(range(1, length(peptide_key)),
-      lambda k: left(peptide_key, CAST(k AS INTEGER)) = right(peptide_key, CAST(k AS INTEGER)))) > 0 AS laps FROM pe""",
-    "spans": """SELECT peptide_key, protein_acc, unnest(CASE WHEN laps THEN list_filter(range(1, length(sequence) - n + 2), lambda i: substring(sequence, i, n) = peptide_key)
-      ELSE list_transform(range(1, len(cuts)), lambda i: CAST(list_sum(cuts[1:i]) + (i - 1) * n + 1 AS BIGINT)) END) AS start, n FROM
-      (SELECT peptide_key, protein_acc, sequence, n, laps, list_transform(string_split(sequence, peptide_key), lambda x: length(x)) AS cuts
-       FROM pe JOIN prot USING (protein_acc) JOIN pl USING (peptide_key))""",
+    "pl": "SELECT DISTINCT peptide_key, length(peptide_key) AS n FROM pe",
+    "lists": "SELECT protein_acc, sequence, regexp_extract_all(sequence, '[^KR]*[KR]|[^KR]+') AS w FROM prot",
+    "numbered_pieces": "SELECT protein_acc, unnest(w) AS piece, unnest(range(1, len(w) + 1)) AS i FROM lists",
+    "ends": """SELECT protein_acc, piece, length(piece) AS m, sum(length(piece)) OVER (PARTITION BY protein_acc ORDER BY i) AS stop FROM numbered_pieces""",
+    "tailed": "SELECT peptide_key, protein_acc, n, least(n, 3) AS k, right(peptide_key, CAST(least(n, 3) AS INTEGER)) AS tail FROM pe JOIN pl USING (peptide_key)",
+    "spans": """SELECT peptide_key, e.protein_acc, CAST(stop - n + 1 AS BIGINT) AS start, n FROM tailed p
+      JOIN (SELECT *, unnest([1, 2, 3]) AS k FROM ends) e ON e.protein_acc = p.protein_acc AND e.k = p.k AND right(piece, e.k) = tail
+      WHERE m >= n AND right(piece, CAST(n AS INTEGER)) = peptide_key AND right(peptide_key, 1) IN ('K', 'R')
+      UNION ALL SELECT peptide_key, protein_acc, unnest(list_filter(range(1, length(sequence) - n + 2), lambda i: substring(sequence, i, n) = peptide_key)) AS start, n
+      FROM pe JOIN pl USING (peptide_key) JOIN prot USING (protein_acc) WHERE right(peptide_key, 1) NOT IN ('K', 'R')""",
     "letters": "SELECT peptide_key, unnest(range(1, n + 1)) AS position, n FROM pl",
     "lett": "SELECT peptide_key, position, substring(peptide_key, position, 1) AS aa, substring(peptide_key, position + 1, 1) AS nxt FROM letters",
     "sitepos": """SELECT s.peptide_key, protein_acc, position, aa, start + position - 1 AS protein_position
