@@ -236,10 +236,13 @@ def _leaders(banded: DataFrame) -> DataFrame:
     return banded.join(led.select("band", "key", F.col("first.node").alias("leader")), ["band", "key"])
 
 
-def _remaining(members: DataFrame, links: DataFrame, component: DataFrame, texts: DataFrame, idf: Broadcast, similar: float = SIMILAR) -> DataFrame:
+def _remaining(
+    members: DataFrame, links: DataFrame, component: DataFrame, nodes: DataFrame, texts: DataFrame, idf: Broadcast, similar: float = SIMILAR
+) -> DataFrame:
     """Further links: in each bucket, members that failed with the leader meet the members of other components.
 
-    Both sides of a bucket are dealt to tiles of bounded size, and a tile sends a spanning forest of its links, never its pairs.
+    Both sides of a bucket are dealt to tiles of bounded size. A tile first compares draws alone and keeps the rows that have a partner
+    (``_partnered``); only these fetch their texts. It then sends a spanning forest of its links, never its pairs.
     """
     joined = links.select(F.col("a").alias("node"), F.col("b").alias("leader"), F.lit(True).alias("linked")).distinct()
     held = members.join(joined, ["node", "leader"], "left").join(component, "node", "left")
@@ -259,12 +262,39 @@ def _remaining(members: DataFrame, links: DataFrame, component: DataFrame, texts
     fields = ["band", "key", "node", "component"]
     failed = rows.filter("failed = 1").select(*fields, F.lit(0).alias("side"), spot("pu").alias("u"), every("pm").alias("m"))
     others = rows.select(*fields, F.lit(1).alias("side"), every("pu").alias("u"), spot("pm").alias("m"))
-    dealt = failed.union(others).join(texts, "node")
+    tile = ["band", "key", "u", "m"]
+    dealt = failed.union(others).join(nodes.select("node", "draws"), "node").select(*TILED, "draws")
+    met = dealt.groupBy(*tile).applyInArrow(_partnered, dealt.drop("draws").schema)
 
     def run(group: pa.Table) -> pa.Table:
         return _across(group, idf.value, similar)
 
-    return dealt.groupBy("band", "key", "u", "m").applyInArrow(run, "a long, b long")
+    return cut(met, "partnered").join(texts, "node").groupBy(*tile).applyInArrow(run, "a long, b long")
+
+
+TILED = ["band", "key", "u", "m", "side", "node", "component"]
+
+
+def _partnered(group: pa.Table) -> pa.Table:
+    """Rows of a tile with a partner on its other side: of another component, with ``AGREE`` equal draws, and no earlier band in common.
+
+    Two members of different components that share an earlier band also meet there: at least one of them failed with that bucket's leader.
+    """
+    side, component, band = group.column("side").to_numpy(), group.column("component").to_numpy(), group.column("band")[0].as_py()
+    drawn = np.frombuffer(b"".join(group.column("draws").to_pylist()), np.uint32).reshape(-1, DRAWS)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    open_ = component[left][:, None] != component[right][None, :]
+    agree = np.zeros(open_.shape, np.uint8)
+    for k in range(0, DRAWS, ROWS):
+        equal = [drawn[left, k + r][:, None] == drawn[right, k + r][None, :] for r in range(ROWS)]
+        for e in equal:
+            agree += e
+        if k // ROWS < band:
+            open_ &= ~np.logical_and.reduce(equal)
+    open_ &= agree >= AGREE
+    keep = np.zeros(len(side), bool)
+    keep[left], keep[right] = open_.any(1), open_.any(0)
+    return group.select(TILED).filter(pa.array(keep))
 
 
 def _across(group: pa.Table, factor: np.ndarray, similar: float) -> pa.Table:
@@ -341,7 +371,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     texts = cut(source.join(keyed, match).select("node", "text").dropDuplicates(["node"]), "texts")
     links = cut(verified(agreeing, texts, idf), "links")
     component = cut(_components(links), "components")
-    more = cut(_remaining(members, links, component, texts, idf), "links")
+    more = cut(_remaining(members, links, component, nodes, texts, idf), "links")
     if not more.isEmpty():
         component = cut(_components(links.union(more)), "components")
     named = nodes.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
