@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from netquant.functions.ratios import log2_of_ratio, ratio_of_log2
 from netquant.functions.texts import escaped_infinity, short_number, unescaped_number
-from netquant.lineage import cut
+from netquant.lineage import checkpoint_dir, cut
 from netquant.operators import aggregates, align, annotate, components, datasets, filters, groups
 from netquant.operators import network as net_tables
 from netquant.operators import nodes, pairs, positions, reports, sites
@@ -153,6 +155,64 @@ def src3_merged_identifications(spark, sf_dir):
     return rounded(merged.drop("experiment").join(of, key), "log2_ratio")
 
 
+def _psm_rows(spark, sf_dir):
+    """Rows of a PSM file: psm, peptide, linear ratio, weight, protein; and the names that files carry."""
+    zero, one = F.col("numerator") <= 0, F.col("denominator") <= 0
+    ratio = F.when(zero & one, F.lit(float("nan"))).when(one, F.lit(float("inf"))).when(zero, 0.0).otherwise(F.try_divide("numerator", "denominator"))
+    return psm_table(spark, sf_dir).select("psm_id", "peptide_key", ratio.alias("ratio"), "weight", "protein_acc", "experiment", "replicate")
+
+
+def _folder(spark, name):
+    return f"{checkpoint_dir(spark)}/netquant/{name}-{uuid.uuid4().hex}"
+
+
+@QUERIES.add("src1_psm_files", with_views("psm", f"""SELECT DISTINCT psm_id, peptide_key, weight, protein_acc, {snum('log2_ratio')} AS log2_ratio FROM psm"""))
+def src1_psm_files(spark, sf_dir):
+    """All PSMs written as a separated-values table and read back."""
+    path = _folder(spark, "psm-files")
+    _psm_rows(spark, sf_dir).drop("experiment", "replicate").write.csv(path, sep="\t")
+    psm, of = readers.read_psm_tsv(spark, path)
+    return rounded(psm.join(of, "psm_id").select("psm_id", "peptide_key", "weight", "protein_acc", "log2_ratio"), "log2_ratio")
+
+
+@QUERIES.add("src2_experiment_files", with_views("psm", f"""SELECT experiment, replicate, psm_id, peptide_key, weight, protein_acc, {snum('log2_ratio')} AS log2_ratio FROM psm"""))
+def src2_experiment_files(spark, sf_dir):
+    """A folder of files per replicate, read back in one scan with experiment and replicate."""
+    path = _folder(spark, "experiments")
+    rows = _psm_rows(spark, sf_dir)
+    rows.withColumn("folder", F.col("replicate")).drop("experiment", "replicate").write.partitionBy("folder").csv(path, sep="\t")
+    files: dict[str, dict[str, str]] = {}
+    for name in rows.select("experiment", "replicate").distinct().collect():  # the names of the folders
+        files.setdefault(name["experiment"], {})[name["replicate"]] = f"{path}/folder={name['replicate']}"
+    found = readers.read_experiments(spark, files)
+    return rounded(found.select("experiment", "replicate", "psm_id", "peptide_key", "weight", "protein_acc", "log2_ratio"), "log2_ratio")
+
+
+@QUERIES.add("src6_sample_tables", with_views("psm", f"""SELECT site_key, sample, CAST({snum("CASE WHEN sample = 'RF' THEN -x ELSE x END")} AS DOUBLE) AS log2_ratio,
+    CASE WHEN n_psm > 1 AND sample <> 'RF' THEN sd ELSE score END AS sd, CAST(n_psm AS INTEGER) AS n_psm, CAST(0 AS INTEGER) AS n_meas
+    FROM (SELECT peptide_key AS site_key, replicate AS sample, max(log2_ratio) AS x, min(CAST(ions AS DOUBLE)) AS sd, max(CAST(weight AS DOUBLE)) AS score, count(*) AS n_psm
+          FROM psm WHERE NOT isnan(log2_ratio) GROUP BY 1, 2)"""))
+def src6_sample_tables(spark, sf_dir):
+    """Node tables of all replicates in two layouts and a sample list, one label-swapped sample; read back."""
+    path = _folder(spark, "samples")
+    site = psm_table(spark, sf_dir).filter(~F.isnan("log2_ratio")).groupBy("peptide_key", "replicate").agg(
+        F.max("log2_ratio").alias("x"), F.min(F.col("ions").cast("double")).alias("sd"), F.max(F.col("weight").cast("double")).alias("score"), F.count("*").alias("n")
+    )
+    head, names = readers.NODE_HEADERS, [F.col("replicate").alias("sample"), F.lit("peptideNodeTable").alias("table")]
+    key, ratio = F.col("peptide_key").alias(head["site_key"]), escaped_infinity("x").alias(head["log2_ratio"])
+    score, count = F.col("score").alias(head["score"]), F.col("n").alias(head["n_psm"])
+    sd = F.when(F.col("n") > 1, F.col("sd")).alias(head["sd"])
+    for rows, columns in ((site.filter("replicate <> 'RF'"), [key, ratio, sd, score, count]), (site.filter("replicate = 'RF'"), [count, score, ratio, key])):
+        rows.select(*columns, *names).write.mode("append").partitionBy("sample", "table").csv(path, sep="\t", header=True)
+    samples = site.select("replicate").distinct()
+    listing = samples.select(
+        "replicate", F.concat(F.lit(f"{path}/sample="), "replicate"), F.when(F.col("replicate") == "RF", "SWAP").otherwise("")
+    )
+    listing.write.csv(f"{path}-list", sep="\t")
+    found = readers.read_samples(spark, readers.read_sample_list(spark, f"{path}-list"))
+    return rounded(found.select("site_key", "sample", "log2_ratio", "sd", "n_psm", "n_meas"), "log2_ratio")
+
+
 @QUERIES.add("src11_groups_from_mutations", """WITH m AS (SELECT DISTINCT c_mktsegment AS gene, 'L' || c_nationkey AS code FROM customer JOIN nation ON c_nationkey = n_nationkey),
     a AS (SELECT DISTINCT c_mktsegment AS gene, 'A' || n_regionkey AS acc, c_acctbal > 9990 AS reviewed FROM customer JOIN nation ON c_nationkey = n_nationkey),
     r AS (SELECT gene, count(*) FILTER (reviewed) AS k, max(acc) FILTER (reviewed) AS one, string_agg(DISTINCT acc, ',' ORDER BY acc) AS every FROM a GROUP BY gene)

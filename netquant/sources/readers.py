@@ -6,8 +6,9 @@ import re
 from collections import Counter
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquant.functions.ratios import log2_of_ratio, nan
@@ -53,23 +54,79 @@ def parse_experiments(text: str) -> dict[str, list[str]]:
     return found
 
 
+def _plain(uri: str) -> str:
+    """One form for ``file:/x`` and ``file:///x``."""
+    return re.sub(r"^([A-Za-z][A-Za-z0-9+.-]*):/+", r"\1:/", uri)
+
+
+def _escaped(path: str) -> str:
+    """A found path as a reader's argument: signs of glob patterns stand for themselves."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def claimed_files(spark: SparkSession, claims: Sequence[tuple[str, str]]) -> dict[str, str]:
+    """File -> name for the files of ``(name, path)`` claims; a path is a file, a folder with all below it, or a pattern.
+
+    A file below several claims goes to the longest path. An error if a pattern finds nothing, a folder holds no file or two names claim one path.
+    """
+    roots: dict[str, str] = {}
+    for name, path in claims:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+        if not found:
+            raise FileNotFoundError(path)
+        for status in found:
+            root = _plain(status.getPath().toUri().toString())
+            if roots.setdefault(root, name) != name:
+                raise ValueError(f"{root} is named by {roots[root]!r} and {name!r}")
+    # A folder inside another one is listed with it.
+    tops = [root for root in roots if not any(root[:at] in roots for at in _cuts(root))]
+    listed = spark.read.option("recursiveFileLookup", True).text([_escaped(unquote(root)) for root in tops]).inputFiles()
+    files = {}
+    for file in map(_plain, listed):
+        owner = next(root for root in (file, *(file[:at] for at in _cuts(file))) if root in roots)
+        files[file] = roots[owner]
+    empty = {name for name, _ in claims} - set(files.values())
+    if empty:
+        raise FileNotFoundError(f"no files for {sorted(empty)}")
+    return files
+
+
+def _cuts(path: str) -> list[int]:
+    """Where the parents of a path end, the longest first."""
+    return [m.start() for m in re.finditer("/", path)][::-1]
+
+
+def scanned_file() -> Column:
+    """The scan's file in the form of :func:`claimed_files`."""
+    return F.regexp_replace("_metadata.file_path", r"^([A-Za-z][A-Za-z0-9+.-]*):/+", "$1:/")
+
+
+def file_paths(files: Sequence[str]) -> list[str]:
+    """Claimed files as the argument of a reader."""
+    return [_escaped(unquote(file)) for file in files]
+
+
 def read_experiments(spark: SparkSession, files: Mapping[str, Mapping[str, str]], sep: str = "\t") -> DataFrame:
     """Rows of all replicates with experiment and replicate.
 
-    ``files`` is experiment -> replicate -> path: a file, a folder or a glob pattern. Each replicate is a scan that carries its own
-    names, so equal file names in different folders stay apart; a path without files is Spark's error.
+    ``files`` is experiment -> replicate -> path: a file, a folder or a glob pattern. All files are one scan, and a join on the file's
+    path names the rows, so the plan does not grow with replicates or files and equal file names in different folders stay apart.
+    A file under two replicates' paths belongs to the longer path; see :func:`claimed_files` for errors.
     """
     named = [(experiment, replicate, path) for experiment, paths in files.items() for replicate, path in paths.items()]
     repeated = [replicate for replicate, n in Counter(replicate for _, replicate, _ in named).items() if n > 1]
     if repeated:
         raise ValueError(f"replicates named twice: {repeated}")
-
-    def scan(experiment: str, replicate: str, path: str) -> DataFrame:
-        rows = spark.read.schema(PSM_SCHEMA).csv(path, sep=sep, nanValue="NaN", positiveInf="Infinity", negativeInf="-Infinity")
-        names = {"experiment": F.lit(experiment), "replicate": F.lit(replicate), "log2_ratio": log2_of_ratio("ratio")}
-        return rows.withColumns(names)
-
-    return reduce(DataFrame.unionByName, [scan(*name) for name in named])
+    experiment_of = {replicate: experiment for experiment, replicate, _ in named}
+    found = claimed_files(spark, [(replicate, path) for _, replicate, path in named])
+    names = spark.createDataFrame(
+        [(file, experiment_of[replicate], replicate) for file, replicate in found.items()], "_file string, experiment string, replicate string"
+    )
+    rows = spark.read.schema(PSM_SCHEMA).csv(
+        file_paths(list(found)), sep=sep, nanValue="NaN", positiveInf="Infinity", negativeInf="-Infinity"
+    )
+    return rows.withColumn("_file", scanned_file()).join(names, "_file").drop("_file").withColumn("log2_ratio", log2_of_ratio("ratio"))
 
 
 def merge_identifications(
@@ -113,7 +170,10 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def read_node_table(spark: SparkSession, path: str | Sequence[str], sample: str) -> DataFrame:
     """Site rows of one sample's peptide-node table, columns found by header name."""
-    raw = spark.read.csv(path, sep="\t", header=True)
+    return _sites(spark.read.csv(path, sep="\t", header=True), F.lit(sample))
+
+
+def _sites(raw: DataFrame, sample: Column) -> DataFrame:
     have = {c.strip(): c for c in raw.columns}
 
     def text(name: str):
@@ -123,7 +183,7 @@ def read_node_table(spark: SparkSession, path: str | Sequence[str], sample: str)
     sd = unescaped_number(text("sd")) if NODE_HEADERS["sd"] in have else nan()
     spread = F.when(F.isnan(sd), unescaped_number(text("score"))).otherwise(sd)
     return raw.select(
-        text("site_key").alias("site_key"), F.lit(sample).alias("sample"), text("sequences").alias("sequences"),
+        text("site_key").alias("site_key"), sample.alias("sample"), text("sequences").alias("sequences"),
         text("proteins").alias("proteins"), text("genes").alias("genes"),
         unescaped_number(text("log2_ratio")).alias("log2_ratio"), spread.alias("sd"),
         *[F.coalesce(text(c).try_cast("int"), F.lit(0)).alias(c) for c in ("n_meas", "n_psm", "n_pep")],
@@ -142,14 +202,36 @@ def node_table_path(path: str) -> str:
 
 
 def read_samples(spark: SparkSession, sample_list: DataFrame) -> DataFrame:
-    """Sites of all samples of a list, label-swapped ones turned; the list names files, so it is small."""
-    tables = None
-    for row in sample_list.collect():
-        table = read_node_table(spark, node_table_path(row["path"]), row["sample"])
-        if row["swap"]:
-            table = table.withColumn("log2_ratio", -F.col("log2_ratio"))
-        tables = table if tables is None else tables.unionByName(table)
-    return tables
+    """Sites of all samples of a list, label-swapped ones turned.
+
+    The list names files, so it is small. Files with the same header line are one scan whose rows a join on the file's path names:
+    the plan grows with the number of different headers, not of samples. An error for a file without a header line
+    (one with the field ``Node key``) and for a sample named twice.
+    """
+    listed = sample_list.collect()
+    swapped = {row["sample"]: bool(row["swap"]) for row in listed}
+    if len(swapped) < len(listed):
+        raise ValueError("a sample is named twice")
+    found = claimed_files(spark, [(row["sample"], node_table_path(row["path"])) for row in listed])
+    names = spark.createDataFrame([(file, sample, swapped[sample]) for file, sample in found.items()], "_file string, _sample string, _swap boolean")
+    lines = spark.read.text(file_paths(list(found))).withColumn("_file", scanned_file())
+    fields = F.transform(F.split("value", "\t"), lambda field: F.trim(field, F.lit(' "')))
+    headers = lines.filter(F.array_contains(fields, NODE_HEADERS["site_key"])).select("_file", "value").distinct().collect()  # one row per file
+    layouts: dict[str, list[str]] = {}
+    for row in headers:
+        layouts.setdefault(row["value"], []).append(row["_file"])
+    bare = set(found) - {row["_file"] for row in headers}
+    if bare:
+        raise ValueError(f"no header line in {sorted(bare)}")
+
+    def scan(files: list[str]) -> DataFrame:
+        raw = spark.read.csv(file_paths(files), sep="\t", header=True)
+        named = raw.withColumn("_file", scanned_file()).join(names, "_file")
+        turned = {c: -unescaped_number(f"`{c}`") for c in raw.columns if c.strip() == NODE_HEADERS["log2_ratio"]}
+        turned = {c: F.when(F.col("_swap"), value).otherwise(unescaped_number(f"`{c}`")).cast("string") for c, value in turned.items()}
+        return _sites(named.withColumns(turned) if turned else named, F.col("_sample"))
+
+    return reduce(DataFrame.unionByName, [scan(sorted(files)) for _, files in sorted(layouts.items())])
 
 
 def read_final_table(spark: SparkSession, path: str, fdr_max: float, key_kind: str = "peptide_node") -> DataFrame:

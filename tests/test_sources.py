@@ -46,6 +46,45 @@ def test_experiments_from_folders_with_equal_file_names(spark, tmp_path):
     assert [(r.psm_id, r.experiment, r.replicate, r.log2_ratio) for r in got] == [("s1", "e1", "r0", 1.0), ("s2", "e1", "r1", 2.0), ("s3", "e2", "r2", 3.0)]
 
 
+def test_one_scan_for_all_replicates(spark, tmp_path):
+    files = {"e1": {}, "e2": {}}
+    for at in range(12):
+        folder = tmp_path / f"a b+[{at}]"
+        folder.mkdir()
+        put(folder / "psm 1%.tsv", f"s{at}\tPEPK\t2.0\t10\tA\n")
+        files[f"e{at % 2 + 1}"][f"r{at}"] = str(folder).replace("[", "\\[").replace("]", "\\]")
+    inner = tmp_path / "a b+[0]" / "own.tsv"
+    put(inner, "t\tPEPK\t2.0\t10\tA\n")
+    files["e2"]["own"] = str(inner).replace("[", "\\[").replace("]", "\\]")
+    rows = readers.read_experiments(spark, files)
+    want = [(f"s{at}", f"e{at % 2 + 1}", f"r{at}") for at in range(12)] + [("t", "e2", "own")]
+    assert sorted((r.psm_id, r.experiment, r.replicate) for r in rows.collect()) == sorted(want)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    with pytest.raises(ValueError):
+        readers.read_experiments(spark, {"e1": {"r1": str(inner.parent.parent / "*0*"), "r2": str(inner.parent.parent / "a b*0*")}})
+    with pytest.raises(FileNotFoundError):
+        readers.read_experiments(spark, {"e1": {"r1": str(tmp_path / "none*")}})
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(FileNotFoundError):
+        readers.read_experiments(spark, {"e1": {"r1": str(tmp_path / "empty"), "r2": str(tmp_path / "a b*0*")}})
+
+
+def test_samples_of_one_layout_are_one_scan(spark, tmp_path):
+    head = "Node key\tNum PSMs\tLog2Ratio\tRatio STDEV\n"
+    for at in range(6):
+        put(tmp_path / f"s{at}.txt", head + f"k{at}\t{at}\t1.5\t0.2\n" if at else "Log2Ratio\tNode key\n-2.5\tk0\n")
+    put(tmp_path / "bare.txt", "1\t2\n")
+    listing = lambda names: spark.createDataFrame([(n, str(tmp_path / f"{n}.txt"), n == "s3") for n in names], "sample string, path string, swap boolean")
+    rows = readers.read_samples(spark, listing([f"s{at}" for at in range(6)]))
+    got = {r.sample: (r.site_key, r.log2_ratio, r.n_psm) for r in rows.collect()}
+    assert got == {"s0": ("k0", -2.5, 0)} | {f"s{at}": (f"k{at}", -1.5 if at == 3 else 1.5, at) for at in range(1, 6)}
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+    with pytest.raises(ValueError):
+        readers.read_samples(spark, listing(["s1", "bare"]))
+    with pytest.raises(ValueError):
+        readers.read_samples(spark, listing(["s1", "s1"]))
+
+
 def test_merge_keeps_quantified_rows(spark):
     quant = spark.createDataFrame([("s1", "P", 1.0)], "psm_id string, peptide_key string, log2_ratio double")
     ident = spark.createDataFrame([("s1", "P"), ("s2", "Q")], "psm_id string, peptide_key string")
