@@ -187,6 +187,39 @@ def test_outlier_is_dropped(spark):
     assert kept.filter("x > 20").count() == 0
 
 
+@pytest.mark.parametrize("fdr", [0.01, 0.2])
+def test_dropped_outliers_against_whole_rounds(spark, fdr):
+    """The settled groups and rescored ones give what scoring all rows in each round gives."""
+    rng = random.Random(5)
+    rows = [("s", f"g{g}", rng.gauss(0, 0.1), rng.choice((50.0, 100.0))) for g in range(400) for _ in range(1 + g % 8)]
+    rows += [("s", f"g{g}", x, 100.0) for g in (4, 5, 6, 7, 12) for x in (8.0, 5.0, 3.0, 1.5)]  # the smaller ones show once the larger ones are gone
+    rows += [("t", f"h{g}", rng.gauss(0, 0.1), 100.0) for g in range(40) for _ in range(3)]
+    rows += [("t", "h0", 8.0, 100.0), ("t", "h0", 8.0, 100.0), ("t", "odd", NAN, 1.0), ("u", "one", 3.0, 1.0), ("t", "h1", INF, 1.0), ("t", "h2", 0.0, 0.0)]
+    data = spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], "i int, one string, g string, x double, w double")
+    variance = {r.one: r.variance for r in integrate.common_variance(data, ["g"], ["one"]).collect()}
+    kept = [r for r in enumerate(rows) if math.isfinite(r[1][2]) and r[1][3] > 0]
+    rounds = 0
+    while True:
+        members, z = {}, {}
+        for i, (s, g, x, w) in kept:
+            members.setdefault((s, g), []).append((i, x, 1 / (1 / w + variance[s])))
+        for (s, _), group in members.items():
+            mean = sum(x * w for _, x, w in group) / sum(w for _, _, w in group)
+            if len(group) > 1:
+                z |= {i: (s, math.erfc(abs(x - mean) * math.sqrt(w * len(group) / (len(group) - 1)) / math.sqrt(2))) for i, x, w in group}
+        of = {s: sorted(p for t, p in z.values() if t == s) for s in "stu"}
+        bad = {i for i, (s, p) in z.items() if len(of[s]) * p / sum(q <= p * (1 + 1e-12) for q in of[s]) < fdr}
+        if not bad:
+            break
+        kept, rounds = [r for r in kept if r[0] not in bad], rounds + 1
+    assert rounds > (1 if fdr < 0.1 else 0) and len(kept) < len(rows) - 3
+    got = integrate.drop_outliers(data, ["g"], ["one"], fdr)
+    assert got.columns == ["one", "g", "i", "x", "w"] and sorted(r.i for r in got.collect()) == [i for i, _ in kept]
+    only = data.filter("one = 's'").drop("one")
+    assert sorted(r.i for r in integrate.drop_outliers(only, ["g"], [], fdr).collect()) == [i for i, row in kept if row[0] == "s"]
+    assert integrate.drop_outliers(data.limit(0), ["g"], ["one"], fdr).count() == 0
+
+
 def test_gaussian_fit_recovers_parameters():
     mid = np.linspace(-3, 5, 40)
     count = 120 * np.exp(-0.5 * ((mid - 0.7) / 0.9) ** 2)
