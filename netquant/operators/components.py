@@ -19,7 +19,10 @@ def connected_components(
     vertex to the least one around it, so the number of rounds grows with the logarithm of the
     component size, also on one giant component. A step is a map-side combined ``min`` and one
     equi-join whose hot keys (the roots) hold a single row on the other side, the shape that the
-    skew join rule splits. Each round is written once, so no lineage builds up.
+    skew join rule splits. Before each step the leaves leave: a vertex with one neighbour, a lesser
+    one, only remembers it. A finished star is all leaves, so a round holds the unfinished rest and
+    the last one is empty. Afterwards the leaves take their neighbour's component, last round first.
+    Each round is written, so no lineage builds up.
     """
     by = list(by)
     # Read three times below: for both ends of the vertex list and for the numbering.
@@ -31,15 +34,17 @@ def connected_components(
     )
     ids = _numbered(vertices, by)
     edges = cut(_as_ids(links, left, right, ids, by), "links")
-    previous = None
+    rounds = []
     for _ in range(max_rounds):
-        edges = cut(_small_star(_large_star(edges)), "star")
-        state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == previous:
+        parted = _leaves_marked(edges)
+        rounds.append(parted.filter("leaf").select("u", "v"))
+        rest = parted.filter("not leaf").select("u", "v")
+        if rest.isEmpty():
             break
-        previous = state
+        edges = cut(_small_star(_large_star(rest)), "star")
     else:
         raise RuntimeError(f"components not stable after {max_rounds} rounds")
+    edges = _expanded(rounds)
     names = ids.select("id", F.col("vertex").alias("component"))
     roots = ids.join(edges.withColumnRenamed("u", "id"), "id", "left").select(
         *by, "vertex", F.coalesce("v", "id").alias("id")
@@ -65,6 +70,24 @@ def _as_ids(links: DataFrame, left: str, right: str, ids: DataFrame, by: list[st
     return numbered.select(F.greatest("_a", "_b").alias("u"), F.least("_a", "_b").alias("v")).distinct()
 
 
+def _leaves_marked(edges: DataFrame) -> DataFrame:
+    """Edges with ``leaf``: whether u has no other edge, so that removing it parts nothing and leaves the least vertex."""
+    ends = edges.select("u").union(edges.select(F.col("v").alias("u")))
+    single = ends.groupBy("u").agg(F.count("*").alias("_n")).filter("_n = 1").select("u", F.lit(True).alias("leaf"))
+    return cut(edges.join(single, "u", "left").withColumn("leaf", F.coalesce("leaf", F.lit(False))), "leaves")
+
+
+def _expanded(rounds: list[DataFrame]) -> DataFrame:
+    """``(u, v)``: the root v of every removed u. A leaf's neighbour is a root or was removed in a later round."""
+    found = rounds[-1]
+    for i in range(len(rounds) - 2, -1, -1):
+        later = found.select(F.col("u").alias("v"), F.col("v").alias("_root"))
+        here = rounds[i].join(later, "v", "left").select("u", F.coalesce("_root", "v").alias("v"))
+        # The first round is read once, by the caller.
+        found = found.union(cut(here, "roots") if i else here)
+    return found
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every greater neighbour of u to the least vertex around u."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -26,7 +26,7 @@ def harmonic(m: Column) -> Column:
 def p_adjust(
     tests: DataFrame, by: Sequence[str] = (), method: str = "BY", p: str = "p", use: str | None = None, out: str = "q"
 ) -> DataFrame:
-    """Adjusted p within each group; rows not used (flag off, NaN or null p) keep their raw p.
+    """Adjusted p within each group; rows not used (flag off, NaN or null p, null key) keep their raw p.
 
     BY and BH are the step-up rules of Benjamini-Yekutieli and Benjamini-Hochberg, Hochberg the
     step-up and Holm the step-down rule on family-wise error.
@@ -37,12 +37,16 @@ def p_adjust(
     if method == "NONE":
         return tests.withColumn(out, F.col(p))
     # Levels are joined back on p itself, so both sides must read the very same doubles: a plan
-    # computed twice may add in another order. It also runs the tests once.
-    tests = cut(tests, "tests")
+    # computed twice may add in another order. It also runs the tests once. Rows not used stay out
+    # of that join, where all of them would meet on one key.
+    tests = cut(tests.drop(out), "tests")
     usable = F.col(p).isNotNull() & ~F.isnan(p)
     if use is not None:
-        usable = usable & F.col(use)
-    levels = tests.filter(usable).groupBy(*by, p).agg(F.count("*").alias("_ties"))
+        usable = usable & F.coalesce(F.col(use), F.lit(False))
+    for c in by:
+        usable = usable & F.col(c).isNotNull()
+    used, unused = tests.filter(usable), tests.filter(~usable)
+    levels = used.groupBy(*by, p).agg(F.count("*").alias("_ties"))
     sizes = levels.groupBy(*by).agg(F.sum("_ties").alias("_m"))
     if method == "BONFERRONI":
         table = with_totals(levels, sizes, by)
@@ -60,9 +64,5 @@ def p_adjust(
             value, kind = (m - (k - F.col("_ties"))) * F.col(p), "max"
         table = cut(table, "ranked")
         adjusted = running(table, by, p, F.least(F.lit(1.0), value), kind, "_q")
-    keyed = adjusted.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col(p).alias("_p"), "_q")
-    condition = usable & (F.col(p) == F.col("_p"))
-    for c in by:
-        condition = condition & (F.col(c) == F.col(f"_by_{c}"))
-    joined = tests.join(keyed, condition, "left")
-    return joined.withColumn(out, F.coalesce("_q", F.col(p))).drop("_p", "_q", *[f"_by_{c}" for c in by])
+    joined = used.join(adjusted.select(*by, p, F.col("_q").alias(out)), [*by, p])
+    return joined.unionByName(unused.withColumn(out, F.col(p)))
