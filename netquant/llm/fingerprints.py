@@ -224,7 +224,8 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     ranges = max(1, min(RANGES, docs.count() // RANGE_ROWS))
-    dealt = _dealt(rows, ranges).repartition(ranges, "part")
+    # A task for each range; a hash of the range would send several to one task and none to others.
+    dealt = _dealt(rows, ranges).repartitionById(ranges, (-F.col("part")).cast("int"))
     order = [F.col("part"), F.col("guest"), F.col("id").desc_nulls_last(), F.xxhash64("text")]
     return dealt.sortWithinPartitions(*order).mapInArrow(_compare, EDITED).withColumnRenamed("id", id_col)
 
