@@ -29,7 +29,7 @@ class Chain(NamedTuple):
     words: np.ndarray
     #: For each category: weights of the words, of the earlier probabilities, and the constant.
     weights: list[np.ndarray]
-    #: Probability of the first category from which a text is flagged.
+    #: Probability of the last category from which a text is flagged.
     limit: float
 
 
@@ -93,7 +93,7 @@ def predict(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 def fit_chain(x: np.ndarray, labels: np.ndarray, fold: np.ndarray, folds: int) -> tuple[list[np.ndarray], float]:
     """One linear model per column of ``labels``; earlier categories enter as out-of-fold probabilities.
 
-    Also the limit that gives the first category its best F1 on the out-of-fold probabilities.
+    Also the limit that gives the last category its best F1 on the out-of-fold probabilities.
     """
     weights, inputs, limit = [], x, 2.0  # without a positive row nothing is flagged
     for k in range(labels.shape[1]):
@@ -104,7 +104,7 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, fold: np.ndarray, folds: int) -
             if (fold == f).any():
                 outside[fold == f] = predict(inputs[fold == f], fit_linear(inputs[fold != f], y[fold != f]))
         inputs = np.hstack([inputs, outside[:, None]])
-        if k == 0 and y.any():
+        if k == labels.shape[1] - 1 and y.any():
             limit = best_limit(outside, y)
     return weights, limit
 
@@ -131,10 +131,10 @@ def train(
     features: int = 128,
     folds: int = 5,
 ) -> Chain:
-    """A chain over ``label`` and its graded categories.
+    """A chain over graded categories of ``label``, the strongest first, and ``label`` itself as the last link, which decides.
 
     Labels with one column only are graded by their own telling words: category ``label_n`` holds the labelled documents with at
-    least n of them, for each n of ``levels``. At most ``bound`` labelled ids are used, in hash order; null labels, ids and texts
+    least n of them, for each n of ``levels``; its probability is an input of all links after it. At most ``bound`` labelled ids are used, in hash order; null labels, ids and texts
     are left out. Without a positive document every probability is near 0.
     """
     sample = F.broadcast(labelled_sample(labels.select(id_col, label).dropna(), id_col, bound))  # at most ``bound`` rows
@@ -154,12 +154,13 @@ def train(
     x = np.frombuffer(b"".join(got["counts"]), np.float32).reshape(len(got), len(words))
     y = got[label].to_numpy(np.float64)
     hits = np.expm1(x[:, np.isin(words, strong)]).sum(1)
-    graded = np.stack([y, *(y * (hits >= n - 0.5) for n in levels)], 1)
-    return Chain([label, *(f"{label}_{n}" for n in levels)], words, *fit_chain(x, graded, got["fold"].to_numpy(), folds))
+    steps = sorted(levels, reverse=True)
+    graded = np.stack([*(y * (hits >= n - 0.5) for n in steps), y], 1)
+    return Chain([*(f"{label}_{n}" for n in steps), label], words, *fit_chain(x, graded, got["fold"].to_numpy(), folds))
 
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text", limit: float | None = None) -> DataFrame:
-    """``docs`` with ``p_<category>`` for each category and ``flagged``: whether the first reaches ``limit`` (by default the
+    """``docs`` with ``p_<category>`` for each category and ``flagged``: whether the last one reaches ``limit`` (by default the
     chain's own, chosen on out-of-fold probabilities).
 
     Null and empty texts get the probabilities of a text without any feature word. Columns of ``docs`` with these names are
@@ -177,7 +178,7 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text", limit: float |
             for w in chain.weights:
                 probabilities.append(predict(inputs, w))
                 inputs = np.hstack([inputs, probabilities[-1][:, None]])
-            columns = [*map(pa.array, probabilities), pa.array(probabilities[0] >= limit)]
+            columns = [*map(pa.array, probabilities), pa.array(probabilities[-1] >= limit)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *columns], [*names, *new])
 
     added = [*(T.StructField(n, T.DoubleType()) for n in new[:-1]), T.StructField("flagged", T.BooleanType())]
