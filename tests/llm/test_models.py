@@ -29,6 +29,27 @@ def test_op1_finds_toxic_documents_and_leaves_clean_ones(spark, labels):
     assert sum(flagged) >= 0.75 * sum(known.values()) and sum(flagged) >= 0.9 * len(flagged)
 
 
+def test_op1_on_held_out_documents_against_a_single_model(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")
+    known = docs.join(labels, "doc_id").withColumn("held_out", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)) == 1).cache()
+    learned = known.filter("not held_out")
+
+    def f1(levels):
+        chain = toxicity.train(learned.select("doc_id", "text"), learned.select("doc_id", "toxic"), levels=levels)
+        assert chain.categories[-1] == "toxic" and len(chain.categories) == len(levels) + 1
+        hits, flagged, toxic = (
+            toxicity.score(known.filter("held_out"), chain)
+            .agg(F.count_if(F.col("flagged") & (F.col("toxic") == 1)), F.count_if("flagged"), F.count_if(F.col("toxic") == 1))
+            .first()
+        )
+        return 2 * hits / (flagged + toxic)
+
+    chained, single = f1((2, 4)), f1(())
+    print("held-out F1: chain", chained, "single model", single)
+    assert chained > 0.75 and chained >= single - 0.02
+
+
 def test_chain_trains_on_out_of_fold_probabilities():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 5))
