@@ -202,3 +202,15 @@ def test_protein_occurrences_equal_a_search_at_every_place(spark):
         spark.createDataFrame([*texts.items(), ("N", None)], "protein_acc string, sequence string"),
     ).collect()
     assert len(found) == len(want) and {(r.peptide_key, r.protein_acc, r.start, r.end) for r in found} == want
+
+
+def test_an_occurrence_moves_neither_by_a_join_nor_by_a_window(spark):
+    """Sequence and peptides of a protein meet once; a protein of several rows is counted through, as before."""
+    proteins = spark.createDataFrame([("A", "GAKAKRCK"), ("A", "GAKAKRCK"), ("B", "RRK"), ("C", None)], "protein_acc string, sequence string")
+    edges = spark.createDataFrame([("AK", "A"), ("K", "B"), ("AK", "A"), ("AKA", "A"), ("AK", None)], "peptide_key string, protein_acc string")
+    found = positions.protein_occurrences(edges, proteins)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+    assert sorted(map(tuple, found.collect())) == sorted(
+        [("AK", "A", 2, 3), ("AK", "A", 5, 6), ("AK", "A", 7, 8), ("AK", "A", 9, 10), ("AKA", "A", 2, 4), ("AKA", "A", 2, 4), ("K", "B", 3, 3)]
+    )
