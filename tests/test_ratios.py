@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netquant.functions import ratios
+from netquant.operators import aggregates
 
 INF, NAN = float("inf"), float("nan")
 BIG = ratios.OLD_INFINITY
@@ -92,3 +93,13 @@ def test_array_helpers(spark):
         ratios.has_finite_and_inf("v").alias("mixed"), ratios.all_inf("v").alias("inf"), ratios.same_infinity("v").alias("same")
     ).collect()
     assert [(r.mixed, r.inf, r.same) for r in got] == [(True, False, INF), (False, True, INF), (False, True, None), (False, False, None)]
+
+
+def test_site_texts_stay_out_of_the_measurements(spark):
+    """A site's text lists all its places, so a row for each of them must not carry it."""
+    sites = spark.createDataFrame([("p1", 1, "A#K1-B#K2"), ("p2", 3, "A#K1-B#K2"), ("p3", 2, "C#K9")], "peptide_key string, position int, site_key string")
+    rows = spark.createDataFrame([("p1", 1, 1.0), ("p2", 3, 3.0), ("p3", 2, 5.0), ("p4", 2, 9.0)], "peptide_key string, position int, log2_ratio double")
+    found = aggregates.site_ratio(sites, rows)
+    groups = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line and "count" in line]
+    assert groups and not any("site_key" in line for line in groups)
+    assert sorted((r.site_key, r.log2_ratio, r.n_meas) for r in found.collect()) == [("A#K1-B#K2", 2.0, 2), ("C#K9", 5.0, 1)]
