@@ -214,3 +214,13 @@ def test_an_occurrence_moves_neither_by_a_join_nor_by_a_window(spark):
     assert sorted(map(tuple, found.collect())) == sorted(
         [("AK", "A", 2, 3), ("AK", "A", 5, 6), ("AK", "A", 7, 8), ("AK", "A", 9, 10), ("AKA", "A", 2, 4), ("AKA", "A", 2, 4), ("K", "B", 3, 3)]
     )
+
+
+def test_candidate_pairs_are_not_shuffled(spark):
+    """Pairs of a k-mer grow with its square: they are tested where the index rows meet, only passing ones move on."""
+    words = spark.createDataFrame([("ACDEFGHIKL",), ("ACDEFGHIKM",), ("WWACDEFGHI",)], "peptide_key string")
+    found = align.candidate_pairs(words, hot=2)
+    tree = found._jdf.queryExecution().executedPlan().toString()
+    top = tree[: tree.index("Join")]
+    assert "Exchange" not in top and "Aggregate" not in top
+    assert {tuple(r) for r in found.collect()} == {("ACDEFGHIKL", "ACDEFGHIKM")}
