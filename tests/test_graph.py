@@ -127,3 +127,21 @@ def test_one_per_peak(spark):
     rows = [("s1", "p", "k1", 1.0), ("s2", "p", "k1", 3.0), ("s3", "p", "k1", 3.0), ("s4", "p", "k2", 0.5)]
     df = spark.createDataFrame(rows, "psm_id string, peptide_key string, peak string, score double")
     assert sorted(r.psm_id for r in filters.one_per_peak(df, ["peptide_key", "peak"]).collect()) == ["s2", "s4"]
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().sparkPlan().toString(), df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_members_of_a_signature_are_exchanged_once(spark):
+    edges = spark.createDataFrame(random_edges(7, 40, 20, 120), "peptide_key string, protein_acc string")
+    for members in (nodes.collapse_peptides(edges), nodes.collapse_proteins(edges)):
+        plan, n = exchanges(members)
+        assert n == 2 and "Join" not in plan
+
+
+def test_collapse_keeps_null_members_and_drops_null_runs(spark):
+    rows = [("r", "p1", "A"), ("r", None, "A"), ("r", "p2", "B"), ("r", None, "B"), (None, "p1", "A"), ("r", "p3", None)]
+    edges = spark.createDataFrame(rows, "run string, peptide_key string, protein_acc string")
+    got = {(r.run, r.peptide_key): r.peptide_node for r in nodes.collapse_peptides(edges, ["run"]).collect()}
+    assert got == {("r", "p1"): "p1", ("r", "p2"): "p2", ("r", None): None, ("r", "p3"): "p3"}
