@@ -224,3 +224,43 @@ def test_candidate_pairs_are_not_shuffled(spark):
     top = tree[: tree.index("Join")]
     assert "Exchange" not in top and "Aggregate" not in top
     assert {tuple(r) for r in found.collect()} == {("ACDEFGHIKL", "ACDEFGHIKM")}
+
+
+@pytest.mark.parametrize("hot", [1000, 4])
+def test_stretches_hold_the_pairs_of_the_join(spark, monkeypatch, hot):
+    """Rows of a crowded k-mer meet at the places that the gaps allow; the pairs are those of the join of all its rows."""
+    rng = random.Random(11)
+    words = [("".join(rng.choice("AB") for _ in range(rng.randint(6, 30))),) for _ in range(120)] + [(w,) for w in near_copies(7, 6, 4)]
+    df = spark.createDataFrame(words, "peptide_key string").repartition(3)
+    found = []
+    for few in (10**6, 0):
+        monkeypatch.setattr(align, "FEW", few)
+        found.append(sorted(tuple(r) for r in align.candidate_pairs(df, hot=hot).collect()))
+    assert found[0] == found[1] and len(set(found[0])) > 50
+
+
+def test_only_near_places_are_tested(spark, monkeypatch):
+    """A k-mer that all peptides hold at other places costs no pair."""
+    words = [("".join(chr(65 + (i + k) % 20) for k in range(i)) + "WWWWWW" + "".join(chr(65 + (i * 7 + k) % 20) for k in range(60 - i)),) for i in range(0, 60, 2)]
+    df = align.sketched(spark.createDataFrame(words, "peptide_key string"))
+    at = F.instr("peptide_key", "WWWWWW")
+    rows = df.select(F.lit("WWWWWW").alias("gram"), F.lit(-1).alias("band"), F.lit(-1).alias("own"), "peptide_key", "n", at.alias("at"), F.lit("").alias("before"), "bag", "two_1", "two_2")
+    looked = []
+    repeat = align.np.repeat
+    monkeypatch.setattr(align.np, "repeat", lambda a, n: looked.append(int(align.np.sum(n))) or repeat(a, n))
+    list(align.neighbours(rows.toArrow(), 0.9))
+    assert 0 < sum(looked) < 30 * 29 / 2 / 3
+
+
+def test_pairs_with_too_many_edits_are_not_aligned(spark):
+    pairs = spark.createDataFrame([("AAAABBBBCCCC", "AAAABBBBCCCC"), ("AAAABBBBCCCC", "AAAABBBBCC"), ("AAAABBBBCCCC", "CCCCBBBBAAAA")], "peptide_1 string, peptide_2 string")
+    assert [r.peptide_2 for r in align.near_enough(pairs, 0.8).collect()] == ["AAAABBBBCCCC", "AAAABBBBCC"]
+    assert align.near_enough(pairs, 0).count() == 3
+
+
+def test_long_alignments():
+    rng = random.Random(4)
+    a = "".join(rng.choice("ACDEFGHIK") for _ in range(300))
+    b = a[:100] + "WW" + a[104:250] + "Y" + a[251:]
+    got = align.align_batch([a, "PEPTIDEK"], [b, "PEPTIDK"])
+    assert [int(row[0]) for row in got] == [best_alignment(a, b), best_alignment("PEPTIDEK", "PEPTIDK")]
