@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from netquant.operators import components, filters, nodes
+from netquant.operators import annotate, components, filters, nodes
 
 
 def union_find(edges):
@@ -176,3 +176,15 @@ def test_clusters_move_numbers_and_not_names(spark, monkeypatch):
     got = {(r.run, r.protein_acc): r.cluster_id for r in components.clusters(edges, ["run"], alignments).collect()}
     assert got == {("r", "A"): "A", ("r", "B"): "A", ("r", "C"): "C", ("r", "D"): "C", ("r", None): None, ("q", "D"): "D"}
     assert written["links"] == {"u": "bigint", "v": "bigint"} and written["numbered"]["id"] == "bigint"
+
+
+def test_protein_strings_in_one_pass(spark):
+    """Accessions, genes and species of a node equal those listed one by one; proteins of several or no annotations stay whole."""
+    links = spark.createDataFrame([("n1", "A"), ("n1", "B"), ("n2", "B"), ("n3", "C"), ("n4", "D")], "peptide_node string, protein_node string")
+    members = spark.createDataFrame([("A", "A"), ("A2", "A"), ("B", "B"), ("C", "C"), (None, "D")], "protein_acc string, protein_node string")
+    protein = spark.createDataFrame([("A", "g2", "x"), ("A", "g1", "x"), ("A2", "g1", None), ("B", None, "y")], "protein_acc string, gene string, taxonomy string")
+    found = annotate.protein_strings(links, members, protein)
+    proteins, key = nodes.node_proteins(members, links), ["peptide_node"]
+    apart = annotate.accession_strings(proteins, key).join(annotate.gene_strings(proteins, protein, key), key, "left").join(annotate.species_strings(proteins, protein, key), key, "left")
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, apart.collect()), key=str)
+    assert {tuple(r) for r in found.collect()} == {("n1", "A A2 B", "g1,g2", "x,y"), ("n2", "B", None, "y"), ("n3", "C", None, None)}

@@ -242,3 +242,20 @@ def test_pair_index_round_trip(spark):
     df = spark.createDataFrame(order, "i int, j int").select("i", "j", channels.pair_index(F.col("i"), F.col("j"), F.lit(n)).alias("k"))
     assert all(order[r.k] == (r.i, r.j) for r in df.collect())
     assert df.select(channels.n_samples_of_pairs(45).alias("n")).first().n == 10
+
+
+@pytest.mark.parametrize("most", [1000, 3, 1])
+def test_means_come_from_the_written_groups(spark, monkeypatch, most):
+    """Groups of one value, lists and long groups, null ones included, give the means of all rows; no group is exchanged again."""
+    monkeypatch.setattr(integrate, "LISTED", most)
+    rng = random.Random(2)
+    rows = [("st"[g % 2], None if g == 8 else f"g{g}", rng.gauss(0, 1), rng.uniform(0.5, 9)) for g in range(12) for _ in range(1 + g % 5)]
+    rows += [("u", "one", 3.0, 1.0), ("v", "odd", NAN, 1.0), (None, "g0", 1.0, 1.0), (None, "g0", 2.0, 1.0)]
+    data = spark.createDataFrame(rows, "scale string, g string, x double, w double")
+    variance = integrate.common_variance(data, ["g"], ["scale"])
+    found = integrate.integrate(data, ["g"], ["scale"])
+    want = {(r.scale, r.g): (r.x, r.w, r.variance, r.n) for r in integrate.integrate(data, ["g"], ["scale"], variance).collect()}
+    got = {(r.scale, r.g): (r.x, r.w, r.variance, r.n) for r in found.collect()}
+    assert got.keys() == want.keys() and all(a == pytest.approx(b) for k in got for a, b in zip(got[k], want[k]))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert (", g#" in "".join(line for line in plan.splitlines() if "Aggregate" in line)) == (most < 5)
